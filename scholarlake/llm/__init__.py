@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["queries_text"]
+MODULES = ["queries_text", "queries_entities"]
 
 QUERIES: dict = {}
 ORACLES: dict = {}

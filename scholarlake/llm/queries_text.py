@@ -3,17 +3,45 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from scholarlake.llm.bpe import encode
 from scholarlake.llm.garbled import garbled_documents
+from scholarlake.llm.pieces import newest_texts, piece_table, pieces, ranges_of
 from scholarlake.plans.cluster import parallelism
 from scholarlake.sources.tables import table
 
 
+def _long_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    abstracts = table(spark, sf_dir, "normalized_works").select(F.lit("normalized_works").alias("tbl"), F.col("openalex_id").alias("item_key"), F.col("abstract").alias("text"), F.col("updated_date").alias("version"))
+    scans = table(spark, sf_dir, "works").select(F.lit("works").alias("tbl"), F.col("id").cast("string").alias("item_key"), F.col("full_text").alias("text"), F.lit("").alias("version"))
+    return newest_texts(abstracts.unionByName(scans))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items that had to be split: those with a first piece in the piece table."""
+    return piece_table(ranges_of(_long_texts(spark, sf_dir))).where("piece_no = 0").select("tbl", "item_key")
+
+
+def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pieces of all items over the limit."""
+    return pieces(_long_texts(spark, sf_dir))
+
+
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").repartition(parallelism(spark))
+    return encode(docs, "doc_id", "text")
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Garbled documents with the MD5 of what they said."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").repartition(parallelism(spark))
     return garbled_documents(docs, "doc_id", "text").select("doc_id", "restored_md5")
 
 
-QUERIES = {"p10_found": p10_found}
-ORACLES: dict[str, str] = {}
+QUERIES = {"p6_found": p6_found, "p6_pieces": p6_pieces, "p8_ids": p8_ids, "p10_found": p10_found}
+ORACLES = {
+    "p6_found": """select distinct 'normalized_works' tbl, openalex_id item_key from normalized_works where length(abstract) > 2048
+                   union all select 'works', cast(id as varchar) from works where length(full_text) > 2048""",
+}
