@@ -13,8 +13,7 @@ from scholarlake.functions.fields import split_packed
 _PARSED = "array<struct<pos:int,val:string,flag:string>>"
 
 
-@F.pandas_udf(_PARSED)
-def parse_packed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _parse(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Array of (pos, val, flag) of each field; equal fields of a batch are parsed once."""
     for fields in batches:
         memo = {t: [{"pos": i, "val": v, "flag": f} for i, (v, f) in enumerate(split_packed(t))] for t in fields.dropna().unique()}
@@ -28,4 +27,4 @@ def split_field(df: DataFrame, key: str, field: str) -> DataFrame:
     malformed ('' elsewhere); repeated rows give repeated results; columns of `df` besides the two are ignored.
     """
     rows = df.select(F.col(key).cast("string").alias("row_key"), F.col(field).alias("_field")).where(F.trim("_field") != "")
-    return rows.select("row_key", F.explode(parse_packed("_field")).alias("_v")).select("row_key", "_v.pos", "_v.val", "_v.flag")
+    return rows.select("row_key", F.explode(F.pandas_udf(_parse, _PARSED)("_field")).alias("_v")).select("row_key", "_v.pos", "_v.val", "_v.flag")
