@@ -1,4 +1,7 @@
-"""Operators on the texts and entities of a corpus, with their queries; nothing outside this package imports it."""
+"""Operators on the texts and entities of a corpus, with their queries; nothing outside this package imports it.
+
+QUERIES and ORACLES are gathered from the query modules when first asked for, so that workers import only what they run.
+"""
 
 from __future__ import annotations
 
@@ -6,9 +9,8 @@ import importlib
 
 MODULES = ["queries_text", "queries_entities"]
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-for _name in MODULES:
-    _module = importlib.import_module(f"{__name__}.{_name}")
-    QUERIES |= _module.QUERIES
-    ORACLES |= _module.ORACLES
+
+def __getattr__(name: str) -> dict:
+    if name in ("QUERIES", "ORACLES"):
+        return {k: v for m in MODULES for k, v in getattr(importlib.import_module(f"{__name__}.{m}"), name).items()}
+    raise AttributeError(name)

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from scholarlake.llm.survivors import golden_records, survivors
+from scholarlake.llm.variants import linked_spellings, variant_pairs
+from scholarlake.operators.split_values import split_field
+from scholarlake.plans.cluster import parallelism
 from scholarlake.sources.tables import table
 
 
@@ -23,5 +27,22 @@ def p5_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
     return golden_records(p5_survivors(spark, sf_dir).withColumnRenamed("paper_id", "group_id")).withColumnRenamed("group_id", "paper_id")
 
 
-QUERIES = {"p5_found": p5_found, "p5_survivors": p5_survivors, "p5_golden": p5_golden}
+def _spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "research_info").select("id", "researcher_name", "authors")
+    typed = rows.select(F.regexp_replace("researcher_name", r"^[\s\u00a0]+|[\s\u00a0]+$", "").alias("name")).where("name <> ''")
+    packed = split_field(rows.repartition(parallelism(spark)), "id", "authors").select(F.col("val").alias("name"))
+    return typed.unionByName(packed).groupBy("name").agg(F.count("*").alias("n"))
+
+
+def p7_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every spelling with the label of its person or organisation."""
+    return linked_spellings(_spellings(spark, sf_dir))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of spellings of the same person or organisation."""
+    return variant_pairs(p7_entities(spark, sf_dir))
+
+
+QUERIES = {"p7_found": p7_found, "p7_entities": p7_entities, "p5_found": p5_found, "p5_survivors": p5_survivors, "p5_golden": p5_golden}
 ORACLES: dict[str, str] = {}
