@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from scholarlake.llm.bpe import encode
 from scholarlake.llm.garbled import garbled_documents
 from scholarlake.llm.pieces import newest_texts, piece_table, pieces, ranges_of
+from scholarlake.llm.scans import repaired
 from scholarlake.plans.cluster import parallelism
 from scholarlake.sources.tables import table
 
@@ -18,6 +19,17 @@ def _long_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return newest_texts(abstracts.unionByName(scans))
 
 
+def p4_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was found in each text of works, and its paragraphs after repair."""
+    works = table(spark, sf_dir, "works").select("id", "full_text").repartition(parallelism(spark))
+    return repaired(works, "id", "full_text").withColumnRenamed("id", "work_row")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each distinct item of each text."""
+    return p4_repaired(spark, sf_dir).select("work_row", F.explode("found").alias("f")).select("work_row", "f.kind", "f.item")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items that had to be split: those with a first piece in the piece table."""
     return piece_table(ranges_of(_long_texts(spark, sf_dir))).where("piece_no = 0").select("tbl", "item_key")
@@ -40,7 +52,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return garbled_documents(docs, "doc_id", "text").select("doc_id", "restored_md5")
 
 
-QUERIES = {"p6_found": p6_found, "p6_pieces": p6_pieces, "p8_ids": p8_ids, "p10_found": p10_found}
+QUERIES = {"p4_found": p4_found, "p4_repaired": p4_repaired, "p6_found": p6_found, "p6_pieces": p6_pieces, "p8_ids": p8_ids, "p10_found": p10_found}
 ORACLES = {
     "p6_found": """select distinct 'normalized_works' tbl, openalex_id item_key from normalized_works where length(abstract) > 2048
                    union all select 'works', cast(id as varchar) from works where length(full_text) > 2048""",
