@@ -16,10 +16,10 @@ from scholarlake.sources.tables import table
 def p3_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The paper that each record without a reference describes, with a confidence; papers whose latest row is deleted are none."""
     none = F.lit(None).cast("string")
-    latest = table(spark, sf_dir, "papers").groupBy("paper_id").agg(F.max_by(F.struct("title", "doi", "authors", "publication_date", "deleted_at"), "ingested_at").alias("p"))
-    papers = latest.where("p.deleted_at is null").select(F.col("paper_id").alias("id"), "p.title", "p.doi", "p.authors", none.alias("person"), F.col("p.publication_date").alias("date"))
+    latest = table(spark, sf_dir, "papers").groupBy("paper_id").agg(F.max_by(F.struct("title", "doi", "authors", "publication_date", "deleted_at", "ingested_at"), "ingested_at").alias("p"))
+    papers = latest.where("p.deleted_at is null").select(F.col("paper_id").alias("id"), "p.title", "p.doi", "p.authors", none.alias("person"), F.col("p.publication_date").alias("date"), F.col("p.ingested_at").alias("arrived"))
     records = table(spark, sf_dir, "research_info").where("paper_id is null or paper_id < 1").select(
-        "id", F.col("work_title").alias("title"), "doi", "authors", F.col("researcher_name").alias("person"), F.col("publication_date").alias("date"),
+        "id", F.col("work_title").alias("title"), "doi", "authors", F.col("researcher_name").alias("person"), F.col("publication_date").alias("date"), F.col("ingested_at").alias("arrived"),
     )
     return matches(records, papers).select(F.col("entity").alias("paper_id"), F.col("record").alias("ri_id"), "confidence")
 
