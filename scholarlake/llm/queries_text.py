@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholarlake.llm.bpe import encode
+from scholarlake.llm.bpe import encode, token_counts
+from scholarlake.llm.containers import CAPACITY, containers
 from scholarlake.llm.garbled import garbled_documents
 from scholarlake.llm.pieces import newest_texts, piece_table, pieces, ranges_of
 from scholarlake.llm.scans import repaired
@@ -46,13 +47,25 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(docs, "doc_id", "text")
 
 
+def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in containers of 2,048 tokens."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").repartition(parallelism(spark))
+    return containers(token_counts(docs, "doc_id", "text"), "doc_id", "n_tokens")
+
+
+def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers used, the fewest there could be, and the share of room filled."""
+    used = p9_containers(spark, sf_dir).agg(F.count_distinct("container").alias("containers"), F.sum("length").alias("tokens"))
+    return used.select("containers", F.ceil(F.col("tokens") / CAPACITY).alias("least"), F.round(F.col("tokens") / (F.col("containers") * CAPACITY), 6).alias("filled"))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Garbled documents with the MD5 of what they said."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").repartition(parallelism(spark))
     return garbled_documents(docs, "doc_id", "text").select("doc_id", "restored_md5")
 
 
-QUERIES = {"p4_found": p4_found, "p4_repaired": p4_repaired, "p6_found": p6_found, "p6_pieces": p6_pieces, "p8_ids": p8_ids, "p10_found": p10_found}
+QUERIES = {"p4_found": p4_found, "p4_repaired": p4_repaired, "p6_found": p6_found, "p6_pieces": p6_pieces, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill, "p10_found": p10_found}
 ORACLES = {
     "p6_found": """select distinct 'normalized_works' tbl, openalex_id item_key from normalized_works where length(abstract) > 2048
                    union all select 'works', cast(id as varchar) from works where length(full_text) > 2048""",
