@@ -82,7 +82,7 @@ def anchor_states(turns: DataFrame) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("turn")
         path = anchor_path(pdf.where(pdf.notna(), None).to_dict("records"))
-        return pd.DataFrame({"session": pdf["session"], "turn": pdf["turn"], "anchor": [p[0] for p in path], "confidence": [p[1] for p in path], "action": [p[2] for p in path]})
+        return pd.DataFrame({"session": pdf["session"].to_numpy(object), "turn": pdf["turn"].to_numpy(), "anchor": [p[0] for p in path], "confidence": [p[1] for p in path], "action": [p[2] for p in path]})
 
     return turns.groupBy("session").applyInPandas(run, ANCHOR_SCHEMA)
 

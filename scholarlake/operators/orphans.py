@@ -48,7 +48,8 @@ def _probe(_, refs: pd.DataFrame, parents: pd.DataFrame) -> pd.DataFrame:
     else:
         kind = np.ones(len(refs), dtype=int)
     miss = kind > 0
-    return pd.DataFrame({"tbl": refs["tbl"][miss], "row_id": refs["row_id"][miss], "period": refs["period"][miss], "kind": [KINDS[k] for k in kind[miss]]})
+    out = {"tbl": refs["tbl"].to_numpy(object)[miss], "row_id": refs["row_id"].to_numpy()[miss], "period": refs["period"].to_numpy(object)[miss], "kind": np.array(KINDS, dtype=object)[kind[miss]]}
+    return pd.DataFrame({c: pd.Series(v, dtype=object) for c, v in out.items()})
 
 
 def orphan_references(refs: DataFrame, states: DataFrame) -> DataFrame:
