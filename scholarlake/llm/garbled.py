@@ -109,7 +109,7 @@ def _suspect(text: str) -> bool:
         return True
     total = sum(len(m) for m in _NON_ASCII.findall(text))
     for codec in ("cp1252", "cp1251", "cp437", "cp850", "mac_roman"):
-        hits = _UTF8[codec].pattern.findall(text)
+        hits = [h for h in _UTF8[codec].pattern.findall(text) if " " not in h]
         if hits and (sum(map(len, hits)) >= 0.2 * total or codec == "cp1252" and len(hits) > 1):
             return True
     return False

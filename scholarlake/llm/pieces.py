@@ -85,7 +85,7 @@ def piece_table(ranges: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, s
     def detect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             found = [boundaries(s, b, k * size, (k + 1) * size) for s, b, k in zip(pdf["slice"], pdf["base"], pdf["range_no"])]
-            yield pdf[["tbl", "item_key", "n", "range_no"]].assign(at=[f[0] for f in found], levels=[f[1] for f in found])
+            yield pd.DataFrame({"tbl": pdf["tbl"].to_numpy(object), "item_key": pdf["item_key"].to_numpy(object), "n": pdf["n"].to_numpy(), "range_no": pdf["range_no"].to_numpy(), "at": [f[0] for f in found], "levels": [f[1] for f in found]})
 
     @F.pandas_udf("array<struct<start:long,end:long,repeated:int>>")
     def planned(n: pd.Series, tables: pd.Series) -> pd.Series:
