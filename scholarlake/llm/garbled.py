@@ -210,9 +210,23 @@ class PairModel:
         return out
 
 
+    def joint(self, text: str) -> float:
+        """Sum of the logarithms of the pairs' own frequencies: how common what stands here is in the corpus, whatever goes before."""
+        return sum(n * math.log(self.n.get(p, 0) + 0.05) for p, n in _pair_counts(text).items())
+
     def dull_runs(self, text: str) -> list[tuple[int, int]]:
-        """The whole text as one run, where its pairs are all attested but rare on the whole: one single-byte alphabet taken for another."""
-        return [(0, len(text))] if self.mean(text) < DULL else []
+        """The whole text as one run, where one single-byte alphabet may be taken for another: its pairs are attested, but rare on
+        the whole, or its characters would be far more common ones by some inverse mapping."""
+        if self.mean(text) < DULL:
+            return [(0, len(text))]
+        chars = Counter(c for c in text if "\x80" <= c < _WIDE)
+        total = sum(chars.values())
+        common = lambda c: math.log(self.right.get(c, 0) + 0.5)
+        now = {c: common(c) for c in chars}
+        for table in _single_tables(frozenset(chars)):
+            if total and sum(n * (common(table[ord(c)]) - now[c]) for c, n in chars.items() if ord(c) in table) > max(2.0, 0.7 * total):
+                return [(0, len(text))]
+        return []
 
 
 def _apply(text: str, runs: list[tuple[int, int]], inverse) -> str:
@@ -249,9 +263,17 @@ def restore(text: str | None, model: PairModel) -> tuple[bool, str | None]:
         tried: set[str] = set()
         mappings = [(f.pattern.search, f) for f in _UTF8.values()]
         if (inside := "".join(now[b:e] for b, e in runs)) and not found:
-            mappings += [(None, lambda s, t=t: s.translate(t)) for t in _single_tables(frozenset(c for c in inside if c >= "\x80"))]
+            chars = frozenset(c for c in inside if c >= "\x80")
+            base = model.joint(now)
+            for table in _single_tables(chars):
+                new = now.translate(table)
+                gain = model.joint(new) - base
+                if gain > MIN_GAIN + 1 and gain > 0.8 * sum(a != b for a, b in zip(now, new)) and (best is None or gain > best[0]):
+                    best = gain, new
+            if best is not None:
+                best = max(MIN_GAIN, model.score(best[1]) - score), best[1]
         for test, inverse in mappings:
-            if test is not None and not test(now):
+            if not test(now):
                 continue
             new = _apply(now, runs, inverse)
             if new == now or new in tried:
