@@ -115,7 +115,7 @@ def _suspect(text: str) -> bool:
     return False
 
 
-@lru_cache(200_000)
+@lru_cache(50_000)
 def _stretch_pairs(stretch: str) -> tuple[tuple[str, str], ...]:
     s = stretch.translate(_FOLD)
     return tuple(zip(s, s[1:]))
@@ -295,7 +295,7 @@ _tables: dict[frozenset, list[dict]] = {}
 def _single_tables(chars: frozenset) -> list[dict]:
     """The single-byte inverses that differ on these characters, each kind once."""
     if chars not in _tables:
-        if len(_tables) > 5000:
+        if len(_tables) > 1000:
             _tables.clear()
         kinds: dict[tuple, dict] = {}
         for table in _SINGLE.values():

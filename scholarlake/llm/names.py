@@ -34,13 +34,13 @@ def lcs(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
-@lru_cache(500_000)
+@lru_cache(200_000)
 def ratio(a: str, b: str) -> float:
     """Longest common subsequence over the mean length."""
     return 2 * lcs(a, b) / (len(a) + len(b)) if a and b else 0.0
 
 
-@lru_cache(500_000)
+@lru_cache(200_000)
 def close(a: str, b: str) -> bool:
     """Whether two words may be one word with a slip or two: all but one letter of each in common order, or two swapped."""
     if a == b:
