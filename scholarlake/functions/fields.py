@@ -28,7 +28,7 @@ PARTICLES = {"van", "von", "der", "den", "de", "del", "della", "da", "di", "du",
 _AND = re.compile(r"\s+(?:and|&amp;|&)\s+|\s*&amp;\s*|^\s*(?:and|&)\s+", re.IGNORECASE)
 _ORG_TAIL = re.compile(r"\s*[^\W\d]+\s+[^\W\d]+\.?\s*\d+\s*(?=[;；|/·•\n\r\t,，\"\[\(]|and\b|&|et\b|$)", re.IGNORECASE)
 _MARKER = re.compile(r"(?:^|(?<=[\s;,|]))(?:\((\d{1,3})\)|\[(\d{1,3})\]|(\d{1,3})\)|(\d{1,3})\.(?=\s))\s*")
-_ET_AL = re.compile(r"[\s,;|]*\b(?:et\.?\s+al\b\.?|and\s+others|u\.\s?a\.)\s*(?:\(\s*\d+\s+\w+\s*\))?\s*$", re.IGNORECASE)
+_ET_AL = re.compile(r"[\s,;|]*\b(?:et\.?\s+al\b\.?|and\s+others)\s*(?:\(\s*\d+\s+\w+\s*\))?\s*$", re.IGNORECASE)
 _ONLY_REMARK = re.compile(r"\(?\s*(?:et\.?\s+al\b\.?|and\s+others|others)\s*(?:\(\s*\d+\s+\w+\s*\))?\s*\)?$|\(\s*\d+\s+authors?\s*\)$", re.IGNORECASE)
 
 

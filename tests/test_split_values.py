@@ -16,7 +16,7 @@ CASES = [
     ("Hill Tide and Water Consortium 172 &amp; A Bo; ; ", ["Hill Tide and Water Consortium 172", "A Bo"]),
     ('"Casimir ""Caz"" Xi", BEN RE', ['Casimir "Caz" Xi', "BEN RE"]),
     ("van der Xe, U.; de Su, Nadir I. | A Bo, C Do", ["van der Xe, U.", "de Su, Nadir I.", "A Bo", "C Do"]),
-    ("Ann Bo, Cy Do et al. (9 authors)", ["Ann Bo", "Cy Do"]),
+    ("Ann Bo, Cy Do et al. (9 authors)", ["Ann Bo", "Cy Do"]), ("Laba, M., Tira, U. A.", ["Laba, M.", "Tira, U. A."]),
     ("Ann Bo / Cy Do · Ed Fo\nGi Ho\tIk Lo", ["Ann Bo", "Cy Do", "Ed Fo", "Gi Ho", "Ik Lo"]),
     ("", []), ("  ", []), (None, []), (";;,", []), ("[]", []),
     ('"Ann Bo; Cy Do', ['"Ann Bo', "Cy Do"]),
