@@ -100,7 +100,7 @@ def _without_particles(ws: list[str]) -> list[str]:
 def person(name: str, givens: set[str], tails: set[str] = frozenset()) -> dict | None:
     """kind, surname and given: the given names in the order typed, single letters for initials; None where there is no surname."""
     text = re.sub(r'"[^"]*"', " ", name)
-    text = re.sub(r"\b(van ?der|van|von|de|der|den)(?=[A-Z])", r"\1 ", text)
+    text = re.sub(r"\b(van|von|de|der|den)(?=[A-Z])", r"\1 ", re.sub(r"\bvan ?der(?=[A-Z])", "van der ", text))
     head, _, tail = text.partition(",")
     if not tail.strip() or _is_title(tail.strip()) and fold(tail).strip(" .") in ("phd", "jr", "sr", "esq"):
         tail = ""
@@ -135,9 +135,21 @@ def _slip(a: str, b: str, givens: set[str]) -> bool:
     return close(a, b) and not (a in givens and b in givens)
 
 
+_SHORT: dict[str, bool] = {}
+
+
 def is_short(given: str, givens: set[str]) -> bool:
-    """Whether a written given name may be a short form the corpus doesn't explain."""
-    return 3 <= len(given) <= 5 and given not in givens
+    """Whether a written given name may be a short form the corpus doesn't explain: none it knows, nor a slip of one.
+
+    A worker judges by one set of known names, so that what it found is kept.
+    """
+    if not 3 <= len(given) <= 5 or given in givens:
+        return False
+    if given not in _SHORT:
+        if len(_SHORT) > 100_000:
+            _SHORT.clear()
+        _SHORT[given] = not any(close(given, g) for g in givens)
+    return _SHORT[given]
 
 
 def _given_match(a: str, b: str, givens: set[str], nicks: dict[str, list[str]]) -> int:
@@ -150,7 +162,7 @@ def _given_match(a: str, b: str, givens: set[str], nicks: dict[str, list[str]])
     if _slip(a, b, givens) or b in nicks.get(a, ()) or a in nicks.get(b, ()):
         return 2
     x, y = sorted((a, b), key=len)
-    return int(is_short(x, givens) and len(y) > 5 and x[0] == y[0])
+    return int(x not in nicks and is_short(x, givens) and len(y) > 5 and x[0] == y[0])
 
 
 def compare_people(a: dict, b: dict, givens: set[str], nicks: dict[str, list[str]]) -> int:

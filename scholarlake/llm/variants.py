@@ -87,7 +87,7 @@ def take_apart(spellings: DataFrame, givens: set[str], nicks: dict[str, list[str
                 if x is None:
                     continue
                 full = [g for g in x["given"] if len(g) > 1]
-                weak = 0 if x["kind"] == "o" or full and len(x["given"]) > 1 else 3 if not full else 2 if is_short(full[0], known) else 1
+                weak = 0 if x["kind"] == "o" or full and len(x["given"]) > 1 else 3 if not full else 2 if full[0] in short or is_short(full[0], known) else 1
                 out.append((name, n, x["kind"], x["surname"], x["given"], x.get("number", ""), _keys(x, short), weak))
             yield pd.DataFrame(out, columns=["name", "n", "kind", "surname", "given", "number", "keys", "weak"])
 
