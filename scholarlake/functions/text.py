@@ -17,6 +17,18 @@ STOPWORDS = (
 PLACEHOLDERS = ["na", "nslasha", "unknown", "none", "null", "nil", "empty", "unspecified", "notavailable", "notapplicable", "notprovided", "tbd", "untitled", "notitle", "notitled", "unnamed"]
 INSTITUTION_WORDS = r"\b(university|faculty|professor|researcher|department|college|school|campus|institute)\b"
 
+# The patterns by which questions are told apart, over text in small letters.
+COUNT_QUESTION = r"\b(how many|number of|count of|total)\b.{0,40}\b(papers?|documents?|records?|articles?|corpus|entries|items)\b"
+NEWEST_QUESTION = r"\b(most recent|newest|latest|last)\b.{0,30}\b(paper|document|record|article|publication)\b"
+OLDEST_QUESTION = r"\b(oldest|earliest|first)\b.{0,30}\b(paper|document|record|article|publication)\b"
+RESET_COMMAND = r"^[ \t]*(switch topic|change (?:the )?(?:subject|topic)|new topic|different topic|start over|let'?s? (?:talk|discuss) (?:about )?something else|never ?mind|forget (?:it|that)|reset|clear (?:context|history|conversation)|move on|next topic)[ \t]*[.!?]?[ \t]*$"
+COMPARISON = r"\b(compar[a-z]*|differ[a-z]*|versus|vs|similarit[a-z]*)\b"
+TIME_RANGE = r"\b(when +(did|was|were|is)|(what|which) +(year|time period|date range|time range|time frame))\b"
+LISTING = r"\b(who|what|which) +else\b|^(identify|list|name|find|suggest|show)\b|\b(who|what) +(are|were|study|studies|work +on|works? +in)\b|\bshow +me\b|^which\b"
+PRONOUNS = r"\b(he|she|they|him|her|them|his|hers|their|theirs|it|its|this|that|these|those)\b"
+GOING_ON = "what about|how about|tell me more|anything else|who else|what else"
+SUMMARY_QUESTION = r"\b(summar(y|ies|i[sz]e)|abstract|overview|describe|mechanisms? described|findings? (in|from)|what (does|do|did|is|are) .{0,40} (research|study|work|paper|finding|mechanism|about))\b"
+
 SPACE = r"[ \t\r\n\f\x0B]+"
 YEAR = r"\b((?:19|20)[0-9]{2})\b"
 
@@ -182,37 +194,31 @@ def meta_query(c: Column) -> Column:
     """corpus_count, most_recent, oldest or '': what a question asks about the corpus itself."""
     q = F.coalesce(F.lower(c), F.lit(""))
     return (
-        F.when(q.rlike(r"\b(how many|number of|count of|total)\b.{0,40}\b(papers?|documents?|records?|articles?|corpus|entries|items)\b"), "corpus_count")
-        .when(q.rlike(r"\b(most recent|newest|latest|last)\b.{0,30}\b(paper|document|record|article|publication)\b"), "most_recent")
-        .when(q.rlike(r"\b(oldest|earliest|first)\b.{0,30}\b(paper|document|record|article|publication)\b"), "oldest").otherwise("")
+        F.when(q.rlike(COUNT_QUESTION), "corpus_count").when(q.rlike(NEWEST_QUESTION), "most_recent").when(q.rlike(OLDEST_QUESTION), "oldest").otherwise("")
     )
 
 
 def meta_command(c: Column) -> Column:
     """Whether a turn resets the conversation instead of asking something."""
-    return F.coalesce(F.lower(c), F.lit("")).rlike(
-        r"^[ \t]*(switch topic|change (?:the )?(?:subject|topic)|new topic|different topic|start over|let'?s? (?:talk|discuss) (?:about )?something else|never ?mind|forget (?:it|that)|reset|clear (?:context|history|conversation)|move on|next topic)[ \t]*[.!?]?[ \t]*$"
-    )
+    return F.coalesce(F.lower(c), F.lit("")).rlike(RESET_COMMAND)
 
 
 def intent(c: Column) -> Column:
     """comparison, time_range, list or default, by the form of the question alone; the first that applies."""
     q = F.coalesce(F.lower(strip(c)), F.lit(""))
     return (
-        F.when(q.rlike(r"\b(compar[a-z]*|differ[a-z]*|versus|vs|similarit[a-z]*)\b"), "comparison")
-        .when(q.rlike(r"\b(when +(did|was|were|is)|(what|which) +(year|time period|date range|time range|time frame))\b"), "time_range")
-        .when(q.rlike(r"\b(who|what|which) +else\b|^(identify|list|name|find|suggest|show)\b|\b(who|what) +(are|were|study|studies|work +on|works? +in)\b|\bshow +me\b|^which\b"), "list").otherwise("default")
+        F.when(q.rlike(COMPARISON), "comparison").when(q.rlike(TIME_RANGE), "time_range").when(q.rlike(LISTING), "list").otherwise("default")
     )
 
 
 def follow_up(c: Column) -> Column:
     """Whether a question refers back by pronoun or by a phrase of going on."""
     q = F.coalesce(F.lower(c), F.lit(""))
-    return q.rlike(r"\b(he|she|they|him|her|them|his|hers|their|theirs|it|its|this|that|these|those)\b") | q.rlike("what about|how about|tell me more|anything else|who else|what else")
+    return q.rlike(PRONOUNS) | q.rlike(GOING_ON)
 
 
 def summary_intent(c: Column) -> Column:
-    return F.coalesce(F.lower(c), F.lit("")).rlike(r"\b(summar(y|ies|i[sz]e)|abstract|overview|describe|mechanisms? described|findings? (in|from)|what (does|do|did|is|are) .{0,40} (research|study|work|paper|finding|mechanism|about))\b")
+    return F.coalesce(F.lower(c), F.lit("")).rlike(SUMMARY_QUESTION)
 
 
 def anchor_escape(c: Column) -> Column:

@@ -255,13 +255,9 @@ def fn_tagger_input(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "fn_intents",
     f"""with q as (select doc_id, coalesce(lower({_QUESTION}), '') q from documents where doc_kind = 'qa_pair')
-    select doc_id, case when regexp_matches(q, '\\b(compar[a-z]*|differ[a-z]*|versus|vs|similarit[a-z]*)\\b') then 'comparison'
-      when regexp_matches(q, '\\b(when +(did|was|were|is)|(what|which) +(year|time period|date range|time range|time frame))\\b') then 'time_range'
-      when regexp_matches(q, '\\b(who|what|which) +else\\b|^(identify|list|name|find|suggest|show)\\b|\\b(who|what) +(are|were|study|studies|work +on|works? +in)\\b|\\bshow +me\\b|^which\\b') then 'list' else 'default' end intent,
-      case when regexp_matches(q, '\\b(how many|number of|count of|total)\\b.{{0,40}}\\b(papers?|documents?|records?|articles?|corpus|entries|items)\\b') then 'corpus_count' when regexp_matches(q, '\\b(most recent|newest|latest|last)\\b.{{0,30}}\\b(paper|document|record|article|publication)\\b') then 'most_recent'
-      when regexp_matches(q, '\\b(oldest|earliest|first)\\b.{{0,30}}\\b(paper|document|record|article|publication)\\b') then 'oldest' else '' end meta,
-      regexp_matches(q, '\\b(he|she|they|him|her|them|his|hers|their|theirs|it|its|this|that|these|those)\\b') or regexp_matches(q, 'what about|how about|tell me more|anything else|who else|what else') follow_up,
-      regexp_matches(q, '\\b(summar(y|ies|i[sz]e)|abstract|overview|describe|mechanisms? described|findings? (in|from)|what (does|do|did|is|are) .{{0,40}} (research|study|work|paper|finding|mechanism|about))\\b') summary from q""",
+    select doc_id, case when regexp_matches(q, '{T.COMPARISON}') then 'comparison' when regexp_matches(q, '{T.TIME_RANGE}') then 'time_range' when regexp_matches(q, '{T.LISTING}') then 'list' else 'default' end intent,
+      case when regexp_matches(q, '{T.COUNT_QUESTION}') then 'corpus_count' when regexp_matches(q, '{T.NEWEST_QUESTION}') then 'most_recent' when regexp_matches(q, '{T.OLDEST_QUESTION}') then 'oldest' else '' end meta,
+      regexp_matches(q, '{T.PRONOUNS}') or regexp_matches(q, '{T.GOING_ON}') follow_up, regexp_matches(q, '{T.SUMMARY_QUESTION}') summary from q""",
 )
 def fn_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PF31-PF37: how the questions of the corpus are to be answered."""
