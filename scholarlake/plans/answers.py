@@ -25,9 +25,6 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-_ENGLISH = "lang in ('en', 'EN', 'en-GB')"
-
-
 @query(
     "fn_snippets",
     f"""with c as (select chunk_id, {_COLL("case when starts_with(text, title) and trim(title) <> '' then ltrim(text[length(title) + 1:], ' ' || chr(10) || chr(9) || ':-|') else text end")} s from chunks where text is not null)
@@ -44,12 +41,12 @@ _SPAN = "([A-Z][a-z]+(?: [A-Z][a-z]+){1,3})"
 
 @query(
     "fn_entities",
-    f"""with d as (select doc_id, text from documents where text is not null and {_ENGLISH}), e as (select doc_id, regexp_extract_all(text, '{_SPAN}', 1) a, regexp_extract_all(text, '(?:^|[ (])([A-Z]{{2,6}}[0-9]*)(?:[ ,.;)]|$)', 1) k, regexp_extract_all(text, '[“"]([^”"]{{3,80}})[”"]', 1) q from d)
+    f"""with d as (select doc_id, text from documents where text is not null), e as (select doc_id, regexp_extract_all(text, '{_SPAN}', 1) a, regexp_extract_all(text, '(?:^|[ (])([A-Z]{{2,6}}[0-9]*)(?:[ ,.;)]|$)', 1) k, regexp_extract_all(text, '[“"]([^”"]{{3,80}})[”"]', 1) q from d)
     select doc_id, list_filter(a, lambda x, i: list_position(a, x) = i)[:6] people, list_filter(k, lambda x, i: list_position(k, x) = i)[:6] acronyms, list_filter(q, lambda x, i: list_position(q, x) = i)[:6] quoted from e""",
 )
 def fn_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FN69, FN71, FN72, FN74, FN75, FN77, FN101: capitalised spans, acronyms and quoted spans of English texts, the first six of each."""
-    d = table(spark, sf_dir, "documents").where(f"text is not null and {_ENGLISH}")
+    """FN69, FN71, FN72, FN74, FN75, FN77, FN101: capitalised spans, acronyms and quoted spans of texts, the first six of each."""
+    d = table(spark, sf_dir, "documents").where("text is not null")
     first = lambda pattern: F.slice(F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(1))), 1, 6)
     return d.select("doc_id", first(_SPAN).alias("people"), first("(?:^|[ (])([A-Z]{2,6}[0-9]*)(?:[ ,.;)]|$)").alias("acronyms"), first('[“"]([^”"]{3,80})[”"]').alias("quoted"))
 
@@ -125,12 +122,12 @@ def tk_splice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "sm_memory_items",
-    f"""with s as (select doc_id, source session, list_filter(string_split(regexp_replace({_STRIP('text')}, '([.!?])[ \\t\\r\\n]+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '')[:20] ss from documents where doc_kind = 'answer' and trim(text) <> '' and {_ENGLISH}),
+    f"""with s as (select doc_id, source session, list_filter(string_split(regexp_replace({_STRIP('text')}, '([.!?])[ \\t\\r\\n]+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '')[:20] ss from documents where doc_kind = 'answer' and trim(text) <> ''),
     i as (select session, doc_id, unnest(ss)[:220] item from s), k as (select session, item, doc_id, {_NORM('item')} k from i) select session, min(doc_id) doc_id, k, cast(least(5, greatest(1, count(*) + 2)) as int) salience from k group by session, k""",
 )
 def sm_memory_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SM6: what a session keeps of English answers: twenty sentences each, 220 characters long, each once whatever its case, with a salience of 1 to 5."""
-    a = table(spark, sf_dir, "documents").where(f"doc_kind = 'answer' and trim(text) <> '' and {_ENGLISH}").select(F.col("source").alias("session"), "doc_id", F.explode(F.slice(T.sentences(F.col("text")), 1, 20)).alias("s"))
+    """SM6: what a session keeps of answers: twenty sentences each, 220 characters long, each once whatever its case, with a salience of 1 to 5."""
+    a = table(spark, sf_dir, "documents").where("doc_kind = 'answer' and trim(text) <> ''").select(F.col("source").alias("session"), "doc_id", F.explode(F.slice(T.sentences(F.col("text")), 1, 20)).alias("s"))
     k = a.select("session", "doc_id", T.norm(F.substring("s", 1, 220)).alias("k"))
     return k.groupBy("session", "k").agg(F.min("doc_id").alias("doc_id"), F.least(F.lit(5), F.greatest(F.lit(1), F.count("*") + 2)).cast("int").alias("salience"))
 

@@ -78,11 +78,11 @@ def wn_memory_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "wn_dedupe_ci",
-    f"with d as (select doc_id, {_NORM('text')} k from documents where trim(text) <> '' and lang in ('en', 'EN', 'en-GB', 'de', 'DE')) select min(doc_id) doc_id, count(*) copies from d group by k having count(*) > 1",
+    f"with d as (select doc_id, {_NORM('text')} k from documents where trim(text) <> '') select min(doc_id) doc_id, count(*) copies from d group by k having count(*) > 1",
 )
 def wn_dedupe_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """WN2, SC27: the first of English and German texts that come several times but for case and white space; only hashes are shuffled."""
-    d = table(spark, sf_dir, "documents").where("trim(text) <> '' and lang in ('en', 'EN', 'en-GB', 'de', 'DE')").select("doc_id", F.sha2(T.norm(F.col("text")), 256).alias("k"))
+    """WN2, SC27: the first of texts that come several times but for case and white space; only hashes are shuffled."""
+    d = table(spark, sf_dir, "documents").where("trim(text) <> ''").select("doc_id", F.sha2(T.norm(F.col("text")), 256).alias("k"))
     return d.groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).where("copies > 1").select("doc_id", "copies")
 
 
@@ -126,10 +126,16 @@ def sm_latest_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "normalized_works").groupBy("openalex_id").agg(F.max("updated_date").alias("updated_date"), F.count("*").alias("copies"))
 
 
+def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was asked, by conversation: a source's turns of one day, so that no fold runs over all turns of a large source."""
+    d = table(spark, sf_dir, "documents").where("source is not null and doc_kind = 'qa_pair' and text is not null")
+    return d.select(F.concat_ws("|", "source", F.date_format("ingested_at", "yyyy-MM-dd")).alias("session"), F.col("doc_id").alias("turn"), "text")
+
+
 @query("sm_anchor_states")
 def sm_anchor_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SM11, SM13, SM14, C8: how the anchor of each session moves with its questions."""
-    q = turns(spark, sf_dir).where("role = 'user' and text is not null").select("session", "turn", F.regexp_extract("text", "^Q: What does (.*) study in", 1).alias("researcher"))
+    q = conversations(spark, sf_dir).select("session", "turn", F.regexp_extract("text", "^Q: What does (.*) study in", 1).alias("researcher"))
     d = ag_dominant_value(spark, sf_dir).where("k = 'topic'").select("researcher", F.col("v").alias("value"), "confidence", "ratio")
     seen = q.join(d, "researcher", "left").select(
         "session", "turn", "value", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("ratio", F.lit(0.0)).alias("ratio"), F.lit(False).alias("overlap"),
@@ -141,7 +147,7 @@ def sm_anchor_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("sm_rolling_summary")
 def sm_rolling_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SM8-SM10, C10, FN79-FN82: the summary each session ends with."""
-    q = turns(spark, sf_dir).where("role = 'user' and text is not null").select("session", "turn", F.regexp_extract("text", r"^Q: ([^\n]*)", 1).alias("question"), T.words(F.regexp_extract("text", r"A: (.*)", 1)).alias("evidence"))
+    q = conversations(spark, sf_dir).select("session", "turn", F.regexp_extract("text", r"^Q: ([^\n]*)", 1).alias("question"), T.words(F.regexp_extract("text", r"A: (.*)", 1)).alias("evidence"))
     return dialog.rolling_summaries(q)
 
 

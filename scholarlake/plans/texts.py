@@ -115,12 +115,12 @@ def fn_ids_years(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "fn_summary_section",
-    f"""with a as (select doc_id, regexp_extract(text, '(?is)(?:^|\\n)Summary:[ \\t\\r\\n]*(.*)', 1) s from documents where doc_kind = 'record' and text is not null and lang in ('en', 'EN', 'en-GB'))
+    f"""with a as (select doc_id, regexp_extract(text, '(?is)(?:^|\\n)Summary:[ \\t\\r\\n]*(.*)', 1) s from documents where doc_kind = 'record' and text is not null)
     select doc_id, {_COLL("lower(regexp_replace(regexp_replace(s, '(?is)(?:^|\\n)[A-Za-z][A-Za-z _]*(?:\\([^)]*\\))?[ \\t]*:.*', ''), '</?[a-zA-Z][^>]*>', '', 'g'))")} summary from a""",
 )
 def fn_summary_section(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FN13: the summary inside English record texts."""
-    records = table(spark, sf_dir, "documents").where("doc_kind = 'record' and text is not null and lang in ('en', 'EN', 'en-GB')")
+    """FN13: the summary inside record texts."""
+    records = table(spark, sf_dir, "documents").where("doc_kind = 'record' and text is not null")
     return records.select("doc_id", T.summary_section(F.col("text")).alias("summary"))
 
 
