@@ -303,11 +303,11 @@ def gr_has_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "gr_collaborations",
-    f"with {_WORK}, e as (select distinct a.id aid, openalex_id wid from (select openalex_id, unnest(x.a) a from w where len(x.a) <= 100) where a.id <> '') select x.aid a1, y.aid a2, count(*) shared_works from e x join e y using (wid) where x.aid < y.aid group by all",
+    f"with {_WORK}, e as (select distinct a.id aid, openalex_id wid from (select openalex_id, unnest(x.a) a from w) where a.id <> '') select x.aid a1, y.aid a2, count(*) shared_works from e x join e y using (wid) where x.aid < y.aid group by all",
 )
 def gr_collaborations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN12: pairs of authors and the works they share; pairs are made inside a work, whose author list is its bound, and counted map-side."""
-    ids = current_works(spark, sf_dir).where("size(a) <= 100").select(F.array_sort(F.array_distinct(F.filter(F.transform("a", lambda p: p["id"]), lambda i: i != ""))).alias("ids"))
+    ids = current_works(spark, sf_dir).select(F.array_sort(F.array_distinct(F.filter(F.transform("a", lambda p: p["id"]), lambda i: i != ""))).alias("ids"))
     pairs = F.flatten(F.transform("ids", lambda a: F.transform(F.filter("ids", lambda b: b > a), lambda b: F.struct(a.alias("a1"), b.alias("a2")))))
     return ids.select(F.explode(pairs).alias("p")).groupBy("p.a1", "p.a2").agg(F.count("*").alias("shared_works"))
 
