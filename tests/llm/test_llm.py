@@ -67,6 +67,16 @@ def test_window_finds_what_all_pairs_find(spark):
     assert sum(got[k] == k - 1000 for k in got) >= 0.99 * len(got)
 
 
+def test_long_runs_of_equal_titles(spark, monkeypatch):
+    monkeypatch.setattr(matching, "RUN", 7, raising=False)
+    name = lambda i: "{0}a{1}o{0}i{1}uks".format("bdfgkl"[i // 10], "mnprstvwxz"[i % 10])
+    papers = [(i, "Introduction to the special issue of dialects", None, f"Ann Xavor{name(i)}, Bea {name(i)}, Cyd Quor{name(i)}", None, None, AT, "", "") for i in range(60)]
+    records = [(1000 + i, p[1], None, f"Bea {name(i)}", None, None, AT, "", "") for i, p in enumerate(papers)]
+    records += [(2000 + i, p[1].replace("special", "specal").replace("dialects", "dialect"), None, f"Bea {name(i)}", None, None, AT, "", "") for i, p in enumerate(papers)]
+    got = {r.record: r.entity for r in matching.matches(side(spark, records), side(spark, papers)).collect()}
+    assert got == {k + i: i for i in range(60) for k in (1000, 2000)}
+
+
 # ---- p4
 
 CLEAN = "The elastic meadow recovered after long monitoring of granite. We argue that moderate plankton should be sampled before transcription is applied here."
