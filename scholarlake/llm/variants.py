@@ -1,9 +1,10 @@
 """Variant spellings of names typed by people and organisations, linked.
 
-Spellings are taken apart; blocks are indexed by the suffix and the prefix of the surname above a minimum length, each refined
-at once by the first letter of a given name (for organisations: number, or acronym), so that no common suffix has to be
-discarded. Pairs of a block are compared once, by longest-common-subsequence ratio. Spellings that say the same are joined
-into components first; those that say less join the only component they fit.
+Spellings are taken apart; the different surnames are indexed by what is left of them without one letter (of long ones also two),
+which two surnames that are close always share wherever the slip stands, and close surnames are refined at once by the first
+letter of a given name (organisations are by number, or acronym), so that nothing common has to be discarded. Pairs are compared
+once, by longest common subsequence. Spellings that say the same are joined into components first; those that say less join the
+only component they fit.
 """
 
 from __future__ import annotations
@@ -15,10 +16,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholarlake.llm.names import NONE, PART, SAME, compare_organisations, compare_people, fold, is_organisation, is_short, is_stand_in, organisation, person
+from scholarlake.llm.names import NONE, PART, SAME, close, compare_organisations, compare_people, fold, is_organisation, is_short, is_stand_in, organisation, person
 from scholarlake.plans.cluster import cut
 
-SUFFIX = 5
+LONG = 40  # letters from which a surname is indexed by runs of letters
 LEXICON_SHARE = 0.0005  # of all spellings a word must lead to count as a given name: so there are at most 2,000
 _PARTS = "name string, n long, kind string, surname string, given array<string>, number string, keys array<string>, weak int"
 
@@ -61,12 +62,46 @@ def lexicons(spellings: DataFrame) -> tuple[set[str], dict[str, list[str]], set[
 
 
 def _keys(x: dict, nicks: dict[str, list[str]]) -> list[str]:
-    s = x["surname"]
+    """What a spelling must share with another besides a close surname; for organisations all of it."""
     if x["kind"] == "o":
-        return [f"o|{x['number']}" if x["number"] else f"o|{s[:6]}"]
-    letters = {g[0] for g in x["given"][:2]} | {f[0] for g in x["given"][:2] for f in nicks.get(g, ())}
-    ends = {f"s|{s[-SUFFIX:]}", f"p|{s[:SUFFIX]}"} if len(s) >= SUFFIX else {f"w|{s}"}
-    return sorted(f"{e}|{c}" for e in ends for c in letters)
+        return [f"o|{x['number']}" if x["number"] else f"o|{x['surname'][:6]}"]
+    return sorted({g[0] for g in x["given"][:2]} | {f[0] for g in x["given"][:2] for f in nicks.get(g, ())})
+
+
+def rests(word: str) -> set[str]:
+    """The word itself and without each one letter, from nine letters on also without each two: two words that are close() share one.
+
+    Very long words have their runs of eight letters instead, as three slips leave some whole; around the bound both, as lengths differ by two.
+    """
+    if len(word) < 4:
+        return {word}
+    runs = {f"~{word[i : i + 8]}" for i in range(len(word) - 7)} if len(word) > LONG - 2 else set()
+    if len(word) > LONG:
+        return runs
+    once = {word[:i] + word[i + 1 :] for i in range(len(word))}
+    return {word} | runs | once | ({w[:i] + w[i + 1 :] for w in once for i in range(len(w))} if len(word) >= 9 else set())
+
+
+def close_surnames(surnames: DataFrame) -> DataFrame:
+    """(surname_a, surname_b): the different values of `surnames` that are equal, or close and at most two edits apart, both ways round.
+
+    The words that share a rest are as many as there are ways to put a letter or two back, however large the corpus.
+    """
+
+    def left(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame([(r, s) for s in pdf["surname"] for r in rests(s)], columns=["rest", "surname"])
+
+    def judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf[[close(a, b) for a, b in zip(pdf["surname_a"], pdf["surname_b"])]]
+
+    index = cut(surnames.select("surname").distinct().mapInPandas(left, "rest string, surname string"))
+    a, b = (index.select("rest", F.col("surname").alias(f"surname_{x}")) for x in "ab")
+    met = a.join(b, "rest").where("surname_a < surname_b and levenshtein(surname_a, surname_b, 2) >= 0").select("surname_a", "surname_b").distinct()
+    found = cut(met.mapInPandas(judged, "surname_a string, surname_b string"))
+    same = surnames.select(F.col("surname").alias("surname_a"), F.col("surname").alias("surname_b")).distinct()
+    return same.union(found).union(found.select("surname_b", "surname_a"))
 
 
 def take_apart(spellings: DataFrame, givens: set[str], nicks: dict[str, list[str]], tails: set[str]) -> DataFrame:
@@ -99,10 +134,10 @@ def compared(parts: DataFrame, givens: set[str], nicks: dict[str, list[str]]) ->
     shared = parts.sparkSession.sparkContext.broadcast((givens, nicks))
     keyed = parts.select(F.explode("keys").alias("key"), "name", "kind", "surname", "given", "number", "keys")
     left, right = (keyed.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("name", "kind", "surname", "given", "number", "keys"))) for x in "ab")
-    pairs = left.join(right, "key").where(
-        (F.col("name_a") < F.col("name_b")) & (F.col("kind_a") == F.col("kind_b")) & (F.col("key") == F.array_min(F.array_intersect("keys_a", "keys_b")))
-        & ((F.col("kind_a") == "o") | (F.levenshtein("surname_a", "surname_b", 2) >= 0))
-    )
+    beside = right.where("kind_b = 'p'").join(close_surnames(parts.where("kind = 'p'").select("surname")), "surname_b")
+    people = left.where("kind_a = 'p'").join(beside, ["surname_a", "key"])
+    bodies = left.where("kind_a = 'o'").join(right.where("kind_b = 'o'"), "key")
+    pairs = people.unionByName(bodies).where((F.col("name_a") < F.col("name_b")) & (F.col("key") == F.array_min(F.array_intersect("keys_a", "keys_b"))))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, short = shared.value
