@@ -96,6 +96,16 @@ def test_scans(spark):
     assert scans.repaired(spark.createDataFrame([], "id long, full_text string"), "id", "full_text").count() == 0
 
 
+def test_rare_words_of_a_large_corpus(spark, monkeypatch):
+    monkeypatch.setattr(scans, "LEAST_SHARE", 0.2)  # as if 40 texts were many: a word of four texts is far below
+    texts = [f"The elastic meadow recovered after long monitoring of granite number {'abcdefgh'[i % 8]}." for i in range(40)] + ["We thank Zasamilin for the meadow."] * 4 + ["We thank Zasamllin for the rneadow.", "We thank Zasa-\nmilin for the meadow."]
+    rows = scans.repaired(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text").collect()
+    found = {r.doc_id: {(f["kind"], f["item"]) for f in r.found} for r in rows if r.found}
+    assert found == {44: {("misread", "zasamilin"), ("misread", "meadow")}, 45: {("hyphen", "zasamilin")}}
+    few = scans.Decoder({"zasamilin": 6, "zasamllin": 3}, 150_000)
+    assert few.correction("zasamllin") is None
+
+
 def test_hyphen_kept():
     d = scans.Decoder({"cross-sectional": 9, "monitoring": 9, "cross": 9, "sectional": 9}, 100)
     assert d.joined("cross", "sectional", True)[0] == "cross-sectional"
