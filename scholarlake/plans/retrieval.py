@@ -46,7 +46,7 @@ def tk_knn_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("tk_mmr")
 def tk_mmr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TK2, TK3, TK10, C3: twelve of the thirty nearest, diversified."""
+    """TK2, C3: twelve of the thirty nearest, diversified."""
     e = table(spark, sf_dir, "embeddings")
     return diversified(nearest(e.where("vec_id % 50 = 0"), e, "vec_id", "embedding", 30), e, "vec_id", "embedding", 12)
 
