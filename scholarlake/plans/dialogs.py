@@ -146,7 +146,7 @@ def sm_anchor_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("sm_rolling_summary")
 def sm_rolling_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SM8-SM10, C10, FN79-FN82: the summary each session ends with."""
+    """SM8-SM10, FN79-FN82, and C10 without the voted people: the summary each session ends with."""
     q = conversations(spark, sf_dir).select("session", "turn", F.regexp_extract("text", r"^Q: ([^\n]*)", 1).alias("question"), T.words(F.regexp_extract("text", r"A: (.*)", 1)).alias("evidence"))
     return dialog.rolling_summaries(q)
 

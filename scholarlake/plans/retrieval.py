@@ -246,7 +246,7 @@ _Q = "(values " + ", ".join(f"({k}, [{', '.join(repr(w) for w in ws)}])" for k,
     select qid, chunk_id, score, cast(row_number() over (partition by qid order by score desc, chunk_id) as int) pos from s qualify pos <= 30""",
 )
 def tk_hybrid_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TK4, PF22, FN9, C2: the thirty chunks that answer each question best; words of a chunk are taken once for all questions."""
+    """PF22, FN9, and of TK4 and C2 the terms of words and chunk types only: the thirty chunks that answer each question best; words of a chunk are taken once for all questions."""
     chunks = table(spark, sf_dir, "chunks").select("chunk_id", "chunk_type", "title", "topic", "text").dropDuplicates(["chunk_id"])
     words = F.array_distinct(T.words(F.concat_ws(" ", "title", "topic", "text")))
     asked = spark.createDataFrame(list(QUESTIONS.items()), "qid int, question string").select("qid", T.relevance_tokens(F.col("question")).alias("toks"))
@@ -331,9 +331,47 @@ def gr_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     select distinct 'WROTE' kind, researcher source, work_id target from h union all select distinct 'HAS_TOPIC', work_id, topic from h where coalesce(lower(trim(topic)), '') not in ('', 'n/a')""",
 )
 def gr_evidence_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TF3-TF5, QO34, FN28: the graph of evidence: the first chunk of each of forty works a researcher, as typed edges."""
+    """TF3, QO34, FN28: the edges WROTE and HAS_TOPIC of the graph of evidence (gr_evidence_graph has all of it): the first chunk of each of forty works a researcher, as typed edges."""
     first = asked_run(spark, sf_dir).groupBy("researcher", "work_id").agg(F.min("pos").alias("p"), F.min_by("topic", "pos").alias("topic"))
     hits = first.withColumn("r", F.row_number().over(Window.partitionBy("researcher").orderBy("p", "work_id"))).where("r <= 40")
     wrote = hits.select(F.lit("WROTE").alias("kind"), F.col("researcher").alias("source"), F.col("work_id").alias("target")).distinct()
     topics = hits.where(~F.coalesce(F.lower(F.trim("topic")), F.lit("")).isin("", "n/a")).select(F.lit("HAS_TOPIC").alias("kind"), F.col("work_id").alias("source"), F.col("topic").alias("target")).distinct()
     return wrote.unionByName(topics)
+
+
+MOST_AUTHORS = 12  # of a paper in the graph of evidence, as in the surveyed system
+
+
+def evidence_graph(hits: DataFrame, works: DataFrame) -> DataFrame:
+    """(part, kind, source, target, label): nodes (source is the id) and edges of `hits`, each once; the least (p, researcher, work_id) gives a node its label.
+
+    Hits have researcher, work_id, p, title and topic; authors are those of `works` (openalex_id, a), the first MOST_AUTHORS different
+    names of each. Names that differ only in case are one node.
+    """
+    said = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
+    names = F.filter(F.transform(F.coalesce("a", F.array()), lambda x: F.trim(x["name"])), lambda n: F.coalesce(n != "", F.lit(False)))
+    lower = F.transform("names", lambda n: F.lower(n))
+    first = F.filter("names", lambda n, i: F.array_position(lower, F.lower(n)) == i + 1)
+    authors = works.select(F.col("openalex_id").alias("work_id"), names.alias("names")).select("work_id", F.slice(first, 1, MOST_AUTHORS).alias("authors"))
+    h = hits.where(said("work_id") != "").join(authors, "work_id", "left").withColumn("researcher", said("researcher")).withColumn("topic", said("topic"))
+    h = h.withColumn("paper", F.concat(F.lit("paper:"), "work_id")).withColumn("at", F.struct("p", "researcher", "work_id"))
+    wrote = h.where("researcher <> ''").select("at", "paper", "researcher")
+    topics = h.where("topic <> '' and lower(topic) <> 'n/a'").select("at", "paper", "topic")
+    by = h.select("at", "paper", F.posexplode("authors").alias("n", "author"))
+    node = lambda d, kind, key, label, n=F.lit(0): d.select(F.lit(kind).alias("kind"), F.concat(F.lit(f"{kind}:"), F.lower(key)).alias("source"), F.col(label).alias("label"), "at", n.alias("n"))
+    title = F.when(said("title") != "", said("title")).otherwise(F.concat(F.lit("paper "), "work_id"))
+    papers = h.select(F.lit("paper").alias("kind"), F.col("paper").alias("source"), title.alias("label"), "at", F.lit(0).alias("n"))
+    nodes = papers.unionByName(node(wrote, "researcher", "researcher", "researcher")).unionByName(node(by, "author", "author", "author", F.col("n"))).unionByName(node(topics, "topic", "topic", "topic"))
+    nodes = nodes.groupBy("kind", "source").agg(F.min_by("label", F.struct("at", "n")).alias("label"))
+    edge = lambda d, kind, source, target: d.select(F.lit("edge").alias("part"), F.lit(kind).alias("kind"), source.alias("source"), target.alias("target"), F.lit(None).cast("string").alias("label"))
+    typed = lambda kind: F.concat(F.lit(f"{kind}:"), F.lower(F.col(kind)))
+    edges = edge(wrote, "WROTE", typed("researcher"), F.col("paper")).unionByName(edge(by, "AUTHORED", typed("author"), F.col("paper"))).unionByName(edge(topics, "HAS_TOPIC", F.col("paper"), typed("topic"))).distinct()
+    return nodes.select(F.lit("node").alias("part"), "kind", "source", F.lit(None).cast("string").alias("target"), "label").unionByName(edges)
+
+
+@query("gr_evidence_graph")
+def gr_evidence_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TF3-TF5, QO34, FN28: the whole graph of evidence: nodes, and edges WROTE, AUTHORED and HAS_TOPIC, of forty works a researcher."""
+    first = asked_run(spark, sf_dir).groupBy("researcher", "work_id").agg(F.min("pos").alias("p"), F.min_by("topic", "pos").alias("topic"), F.min_by("title", "pos").alias("title"))
+    hits = first.withColumn("r", F.row_number().over(Window.partitionBy("researcher").orderBy("p", "work_id"))).where("r <= 40")
+    return evidence_graph(hits, current_works(spark, sf_dir))
