@@ -77,6 +77,18 @@ def test_long_runs_of_equal_titles(spark, monkeypatch):
     assert got == {k + i: i for i in range(60) for k in (1000, 2000)}
 
 
+def test_badly_spelt_titles():
+    row = lambda title: {"doi": None, "title": matching._title_words(title)[0], "cut": False, "people": ["ann|boler"], "day": [2001, 2, 3]}
+    paper = row("How elastic cortex shapes pollen emission")
+    assert matching.confidence(row("Hwo elstick cortekz shps polnen emsion"), paper) >= matching.ACCEPT
+    rng = random.Random(2)
+    words = ["elastic", "elstic", "cortex", "kortexs", "pollen", "polln", "emission", "emisn", "of", "shapes", "shps", "reply", "meadow", "granite"]
+    for _ in range(3_000):
+        a, b = (rng.sample(words, rng.randrange(1, 8)) for _ in "ab")
+        if matching.too_different(a, b):
+            assert matching.title_likeness(a, b, rng.random() < 0.5)[1] == "own"
+
+
 # ---- p4
 
 CLEAN = "The elastic meadow recovered after long monitoring of granite. We argue that moderate plankton should be sampled before transcription is applied here."
