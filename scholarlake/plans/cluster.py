@@ -2,17 +2,29 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder all executors share: the session's `spark.checkpoint.dir`; one of our own only where that is unset."""
+    """The checkpoint folder all executors share: the session's `spark.checkpoint.dir`.
+
+    A folder of our own is made only where that is unset and driver and executors are one process, and is removed at the end; on a
+    cluster nothing is written to a machine's own disk, so that an unset folder is an error.
+    """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(named or f"file://{tempfile.mkdtemp(prefix='scholarlake-')}")
+        if not named:
+            if not context.master.startswith("local[") and context.master != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            own = tempfile.mkdtemp(prefix="scholarlake-")
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+            named = f"file://{own}"
+        context.setCheckpointDir(named)
     return context.getCheckpointDir()
 
 
@@ -25,3 +37,13 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
 def parallelism(spark: SparkSession) -> int:
     """Partitions for CPU-heavy Python stages: the shuffle width or twice the cores, whichever is more."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), 2 * spark.sparkContext.defaultParallelism)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df`, a scan with narrow steps on it, as it is split; only one with fewer partitions than there are cores is dealt out anew.
+
+    A large input is split by the scan (`spark.sql.files.maxPartitionBytes`) and its rows stay where they are read.
+    """
+    if df.rdd.getNumPartitions() >= df.sparkSession.sparkContext.defaultParallelism:
+        return df
+    return df.repartition(parallelism(df.sparkSession))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scholarlake.operators.orphans import orphan_references, orphan_report, parent_states
 from scholarlake.operators.split_values import split_field
-from scholarlake.plans.cluster import parallelism
+from scholarlake.plans.cluster import spread
 from scholarlake.sources.tables import table
 
 
@@ -15,9 +15,8 @@ def p1_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every packed value of the two fields with its position and error flag."""
     authors = table(spark, sf_dir, "research_info").select("id", "authors").where("authors is not null")
     people = table(spark, sf_dir, "chunks").select("chunk_id", "su_researchers").where("su_researchers is not null").distinct()
-    wide = parallelism(spark)
     return (
-        split_field(authors.repartition(wide), "id", "authors").withColumn("tbl", F.lit("research_info"))
+        split_field(spread(authors), "id", "authors").withColumn("tbl", F.lit("research_info"))
         .unionByName(split_field(people, "chunk_id", "su_researchers").withColumn("tbl", F.lit("chunks")))
         .select("tbl", "row_key", "pos", "val", "flag")
     )
