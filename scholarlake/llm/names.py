@@ -41,14 +41,27 @@ def ratio(a: str, b: str) -> float:
 
 
 @lru_cache(200_000)
+def _letters(word: str) -> int:
+    mask = 0
+    for c in word:
+        mask |= 1 << ord(c) % 64
+    return mask
+
+
 def close(a: str, b: str) -> bool:
     """Whether two words may be one word with a slip or two: all but one letter of each in common order, or two swapped."""
     if a == b:
         return True
-    if abs(len(a) - len(b)) > 2 or min(len(a), len(b)) < 4:
+    m, n = len(a), len(b)
+    if m > n:
+        m, n = n, m
+    if n - m > 2 or m < 4:
+        return False
+    lost = 2 if m >= 8 and m != n else 1
+    x, y = _letters(a), _letters(b)  # each letter the other word hasn't is lost at least
+    if len(a) - (x & ~y).bit_count() < n - lost or len(b) - (y & ~x).bit_count() < n - lost:
         return False
-    common = lcs(a, b)
-    return common >= max(len(a), len(b)) - (2 if min(len(a), len(b)) >= 8 and len(a) != len(b) else 1)
+    return lcs(a, b) >= n - lost
 
 
 def words_of(name: str) -> list[str]:
@@ -135,24 +148,21 @@ def _slip(a: str, b: str, givens: set[str]) -> bool:
     return close(a, b) and not (a in givens and b in givens)
 
 
-_SHORT: dict[str, bool] = {}
-
-
-def is_short(given: str, givens: set[str]) -> bool:
+def is_short(given: str, givens: set[str], memo: dict[str, bool] | None = None) -> bool:
     """Whether a written given name may be a short form the corpus doesn't explain: none it knows, nor a slip of one.
 
-    A worker judges by one set of known names, so that what it found is kept.
+    `memo` keeps what was found, for one set of known names.
     """
     if not 3 <= len(given) <= 5 or given in givens:
         return False
-    if given not in _SHORT:
-        if len(_SHORT) > 100_000:
-            _SHORT.clear()
-        _SHORT[given] = not any(close(given, g) for g in givens)
-    return _SHORT[given]
+    if memo is None:
+        return not any(close(given, g) for g in givens)
+    if given not in memo:
+        memo[given] = not any(close(given, g) for g in givens)
+    return memo[given]
 
 
-def _given_match(a: str, b: str, givens: set[str], nicks: dict[str, list[str]]) -> int:
+def _given_match(a: str, b: str, givens: set[str], nicks: dict[str, list[str]], memo: dict[str, bool] | None = None) -> int:
     """3: the same name, 2: with a slip, or a nickname the corpus gives; 1: an initial, or a likely short form; 0: another name."""
     if a == b:
         return 3 if len(a) > 1 else 1
@@ -162,18 +172,18 @@ def _given_match(a: str, b: str, givens: set[str], nicks: dict[str, list[str]])
     if _slip(a, b, givens) or b in nicks.get(a, ()) or a in nicks.get(b, ()):
         return 2
     x, y = sorted((a, b), key=len)
-    return int(x not in nicks and is_short(x, givens) and len(y) > 5 and x[0] == y[0])
+    return int(x not in nicks and is_short(x, givens, memo) and len(y) > 5 and x[0] == y[0])
 
 
-def compare_people(a: dict, b: dict, givens: set[str], nicks: dict[str, list[str]]) -> int:
+def compare_people(a: dict, b: dict, givens: set[str], nicks: dict[str, list[str]], memo: dict[str, bool] | None = None) -> int:
     """SAME: the same given names, as far written; PART: one says less than the other; NONE: they conflict."""
     exact = a["surname"] == b["surname"]
     if not exact and not close(a["surname"], b["surname"]):
         return NONE
     ga, gb = a["given"], b["given"]
-    got = [_given_match(x, y, givens, nicks) for x, y in zip(ga, gb)]
+    got = [_given_match(x, y, givens, nicks, memo) for x, y in zip(ga, gb)]
     if not all(got) and len(ga) == len(gb) == 2:
-        got = [_given_match(x, y, givens, nicks) for x, y in zip(ga, reversed(gb))]
+        got = [_given_match(x, y, givens, nicks, memo) for x, y in zip(ga, reversed(gb))]
         if min(got) < 2:
             return NONE
     if not all(got):

@@ -9,7 +9,7 @@ from scholarlake.llm.matching import matches
 from scholarlake.llm.survivors import golden_records, survivors
 from scholarlake.llm.variants import linked_spellings, variant_pairs
 from scholarlake.operators.split_values import split_field
-from scholarlake.plans.cluster import parallelism
+from scholarlake.plans.cluster import spread
 from scholarlake.sources.tables import table
 
 
@@ -47,7 +47,7 @@ def p5_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "research_info").select("id", "researcher_name", "authors")
     typed = rows.select(F.regexp_replace("researcher_name", r"^[\s\u00a0]+|[\s\u00a0]+$", "").alias("name")).where("name <> ''")
-    packed = split_field(rows.repartition(parallelism(spark)), "id", "authors").select(F.col("val").alias("name"))
+    packed = split_field(spread(rows), "id", "authors").select(F.col("val").alias("name"))
     return typed.unionByName(packed).groupBy("name").agg(F.count("*").alias("n"))
 
 

@@ -10,7 +10,7 @@ from scholarlake.llm.containers import CAPACITY, containers
 from scholarlake.llm.garbled import garbled_documents
 from scholarlake.llm.pieces import newest_texts, piece_table, pieces, ranges_of
 from scholarlake.llm.scans import repaired
-from scholarlake.plans.cluster import parallelism
+from scholarlake.plans.cluster import spread
 from scholarlake.sources.tables import table
 
 
@@ -22,7 +22,7 @@ def _long_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What was found in each text of works, and its paragraphs after repair."""
-    works = table(spark, sf_dir, "works").select("id", "full_text").repartition(parallelism(spark))
+    works = spread(table(spark, sf_dir, "works").select("id", "full_text"))
     return repaired(works, "id", "full_text").withColumnRenamed("id", "work_row")
 
 
@@ -43,13 +43,13 @@ def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").repartition(parallelism(spark))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return encode(docs, "doc_id", "text")
 
 
 def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in containers of 2,048 tokens."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").repartition(parallelism(spark))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return containers(token_counts(docs, "doc_id", "text"), "doc_id", "n_tokens")
 
 
@@ -61,7 +61,7 @@ def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Garbled documents with the MD5 of what they said."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").repartition(parallelism(spark))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return garbled_documents(docs, "doc_id", "text").select("doc_id", "restored_md5")
 
 

@@ -113,6 +113,7 @@ def take_apart(spellings: DataFrame, givens: set[str], nicks: dict[str, list[str
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, short, ends = shared.value
+        memo: dict[str, bool] = {}
         for pdf in batches:
             out = []
             for name, n in zip(pdf["name"], pdf["n"]):
@@ -122,7 +123,7 @@ def take_apart(spellings: DataFrame, givens: set[str], nicks: dict[str, list[str
                 if x is None:
                     continue
                 full = [g for g in x["given"] if len(g) > 1]
-                weak = 0 if x["kind"] == "o" or full and len(x["given"]) > 1 else 3 if not full else 2 if full[0] in short or is_short(full[0], known) else 1
+                weak = 0 if x["kind"] == "o" or full and len(x["given"]) > 1 else 3 if not full else 2 if full[0] in short or is_short(full[0], known, memo) else 1
                 out.append((name, n, x["kind"], x["surname"], x["given"], x.get("number", ""), _keys(x, short), weak))
             yield pd.DataFrame(out, columns=["name", "n", "kind", "surname", "given", "number", "keys", "weak"])
 
@@ -141,11 +142,12 @@ def compared(parts: DataFrame, givens: set[str], nicks: dict[str, list[str]]) ->
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, short = shared.value
+        memo: dict[str, bool] = {}
         for pdf in batches:
             out = []
             for na, nb, kind, sa, sb, ga, gb, xa, xb in zip(*(pdf[c] for c in ("name_a", "name_b", "kind_a", "surname_a", "surname_b", "given_a", "given_b", "number_a", "number_b"))):
                 a, b = {"surname": sa, "given": list(ga), "number": xa}, {"surname": sb, "given": list(gb), "number": xb}
-                level = compare_organisations(a, b) if kind == "o" else compare_people(a, b, known, short)
+                level = compare_organisations(a, b) if kind == "o" else compare_people(a, b, known, short, memo)
                 if level != NONE:
                     out.append((na, nb, level, sa == sb))
             yield pd.DataFrame(out, columns=["a", "b", "level", "exact"])
