@@ -61,8 +61,8 @@ def test_window_finds_what_all_pairs_find(spark):
     got = {r.record: r.entity for r in matching.matches(side(spark, records), side(spark, papers)).collect()}
     fields = lambda rows, kind: [{"doi": None, "title": matching._title_words(r[1])[0], "cut": False, "people": matching._people(r[3]), "day": [int(r[5]), 0, 0]} for r in rows]
     a, b = fields(records, 1), fields(papers, 0)
-    brute = {1000 + i: max(((matching.confidence(x, y), -j) for j, y in enumerate(b)), default=None) for i, x in enumerate(a)}
-    want = {k: -v[1] for k, v in brute.items() if v[0] >= matching.ACCEPT}
+    brute = {1000 + i: max(((matching.confidence(x, y), matching.agreement(x, y), -j) for j, y in enumerate(b)), default=None) for i, x in enumerate(a)}
+    want = {k: -v[-1] for k, v in brute.items() if v[0] >= matching.ACCEPT}
     assert set(got) == set(want) and sum(got[k] == want[k] for k in want) >= 0.99 * len(want)
     assert sum(got[k] == k - 1000 for k in got) >= 0.99 * len(got)
 
