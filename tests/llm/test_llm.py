@@ -109,6 +109,20 @@ def test_scans(spark):
     assert scans.repaired(spark.createDataFrame([], "id long, full_text string"), "id", "full_text").count() == 0
 
 
+def test_joint_reading():
+    words = {w: 200 for w in "the soil moisture content has recovered after rain of granite".split()} | {"zasamilin": 5}
+    d = scans.Decoder(words, 1_000)
+    read = lambda line: scans.decode(scans.structure(line), d)
+    for seen, meant in (
+        ("the re cov ered soil", "the recovered soil"), ("the mois ture of soil", "the moisture of soil"), ("soil con tent", "soil content"), ("the soilmoisturecontent of granite", "the soil moisture content of granite"),
+        ("5oilmoisture of granite", "soil moisture of granite"), ("the rnois tvre of soil", "the rnois tvre of soil"), ("the rnois ture of so1l", "the moisture of soil"), ("zasamllin has recovered", "zasamilin has recovered"), ("Fjordbakken has recovered", "Fjordbakken has recovered"),
+    ):
+        assert read(seen)[1] == [meant]
+    assert read("the rnois ture of so1l")[0] == [("misread", "moisture"), ("misread", "soil")]
+    long = "the soil has recovered after rain\n" * 4_000 + "\n".join(map(str, range(4_000)))
+    assert read(long)[0] == [] and sum(k == "pageno" for k in scans.structure(long).kind) == 4_000
+
+
 def test_rare_words_of_a_large_corpus(spark, monkeypatch):
     monkeypatch.setattr(scans, "LEAST_SHARE", 0.2)  # as if 40 texts were many: a word of four texts is far below
     texts = [f"The elastic meadow recovered after long monitoring of granite number {'abcdefgh'[i % 8]}." for i in range(40)] + ["We thank Zasamilin for the meadow."] * 4 + ["We thank Zasamllin for the rneadow.", "We thank Zasa-\nmilin for the meadow."]
