@@ -2,7 +2,9 @@
 
 Adjacent character pairs are scored over the whole corpus; pairs of a text that the corpus makes improbable are gathered into
 runs by maximum-scoring segments; inverse mappings (text -> bytes by the codec wrongly used -> text by the right one) are tried
-on the characters of those runs only, and the one that raises the pair score most is kept, layer by layer.
+on the characters of those runs only, and the one that raises the pair score most is kept, layer by layer. A mapping that holds
+in the runs makes runs of the other stretches it would better as well. Pairs inside what reads as misread UTF-8 are counted
+apart, under the character they would stand for: where that is the commoner thing in the corpus, they attest nothing.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +30,6 @@ MISREAD_SINGLE = tuple(
     for right in ("cp1251", "koi8_r", "cp866", "iso8859_5", "mac_cyrillic", "cp1250", "iso8859_2", "cp852", "cp1253", "iso8859_7", "cp1254", "cp1257", "cp437", "cp850", "mac_roman", "cp1252")
     if wrong != right
 )
-MOST_LAYERS = 3
 DULL = -2.8  # mean log P of a text's pairs below which it is looked at as a whole
 MIN_GAIN = 2.0  # nats a restoration must gain over the text as it stands
 _WIDE = "　"  # stands for all wide scripts, whose characters no single-byte codec has
@@ -60,14 +62,14 @@ class _Utf8Inverse:
         cont = at(0x80, 0xBF)
         self.pattern = re.compile(f"{at(0xC2, 0xDF)}{cont}|{at(0xE0, 0xEF)}{cont}{{2}}|{at(0xF0, 0xF4)}{cont}{{3}}")
 
-    def _decode(self, m: re.Match) -> str:
+    def decoded(self, m: re.Match) -> str:
         try:
             return bytes(self.table[c] for c in m[0]).decode("utf-8")
         except UnicodeDecodeError:
             return m[0]
 
     def __call__(self, text: str) -> str:
-        return self.pattern.sub(self._decode, text)
+        return self.pattern.sub(self.decoded, text)
 
 
 def _single_inverse(wrong: str, right: str) -> dict[int, str]:
@@ -103,16 +105,24 @@ class _Folded(dict):
 _FOLD = _Folded()
 
 
-def _suspect(text: str) -> bool:
-    """Whether a text is kept out of the pair counts: much of what isn't ASCII in it reads as misread UTF-8, or it holds control or replacement characters."""
+_COUNTED = ("cp1252", "cp1251", "cp437", "cp850", "mac_roman")  # alphabets under which misread UTF-8 is looked for when pairs are counted
+
+
+def _misread(text: str) -> list[tuple[int, int, str]] | None:
+    """Stretches (begin, end, character) that read as misread UTF-8; None where a text is kept out of the counts: it holds much of that, or control or replacement characters."""
     if re.search("[\x80-\x9f�]", text):
-        return True
-    total = sum(len(m) for m in _NON_ASCII.findall(text))
-    for codec in ("cp1252", "cp1251", "cp437", "cp850", "mac_roman"):
-        hits = [h for h in _UTF8[codec].pattern.findall(text) if " " not in h]
-        if hits and (sum(map(len, hits)) >= 0.2 * total or codec == "cp1252" and len(hits) > 1):
-            return True
-    return False
+        return None
+    total, out = -1, []
+    for codec in _COUNTED:
+        inverse = _UTF8[codec]
+        hits = [(m.start(), m.end(), c) for m in inverse.pattern.finditer(text) if " " not in m[0] and (c := inverse.decoded(m)) != m[0]]
+        if hits:
+            if total < 0:
+                total = sum(len(m) for m in _NON_ASCII.findall(text))
+            if sum(e - b for b, e, _ in hits) >= 0.2 * total and codec != "mac_roman" or codec == "cp1252" and len(hits) > 1:
+                return None
+            out += hits
+    return out
 
 
 @lru_cache(50_000)
@@ -131,32 +141,47 @@ def _pair_counts(text: str) -> Counter:
     return out
 
 
-def _pairs(text: str) -> set[tuple[str, str]]:
-    return set(_pair_counts(text))
+def _counted(text: str, hits: list[tuple[int, int, str]]) -> set[tuple[str, str, str]]:
+    """(a, b, '') of the text's pairs; those in and beside a stretch that reads as misread UTF-8 as (a, b, what it would be)."""
+    if not hits:
+        return {(a, b, "") for a, b in _pair_counts(text)}
+    out, bare, at = set(), [], 0
+    for begin, end, c in sorted(hits):
+        folded = text[max(0, begin - 1) : end + 1].translate(_FOLD)
+        out |= {(a, b, c) for a, b in zip(folded, folded[1:]) if a >= "\x80" or b >= "\x80"}
+        bare.append(text[at : max(at, begin)])
+        at = max(at, end)
+    return out.union(*({(a, b, "") for a, b in _pair_counts(t)} for t in [*bare, text[at:]]))
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     counts: Counter = Counter()
     for pdf in batches:
         for text in pdf["text"]:
-            if text and not text.isascii() and not _suspect(text):
-                counts.update(_pairs(text))
-    yield pd.DataFrame([(a, b, n) for (a, b), n in counts.items()], columns=["a", "b", "n"])
+            if text and not text.isascii() and (hits := _misread(text)) is not None:
+                counts.update(_counted(text, hits))
+    yield pd.DataFrame([(a, b, c, n) for (a, b, c), n in counts.items()], columns=["a", "b", "instead", "n"])
 
 
 def pair_counts(docs: DataFrame, text: str) -> DataFrame:
-    """(a, b, n): in how many texts the character b follows a, where either isn't ASCII; counted over all texts that aren't suspect.
+    """(a, b, instead, n): in how many texts the character b follows a, where either isn't ASCII; counted over all texts that aren't mostly misread.
 
-    Wide scripts count as one symbol, so the result is bounded by the square of the narrow alphabets whatever the corpus's size.
+    Wide scripts count as one symbol, so the result is bounded by the alphabets whatever the corpus's size.
     """
-    return docs.select(F.col(text).alias("text")).where(F.col("text").rlike("[^\\x00-\\x7f]")).mapInPandas(_count, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return docs.select(F.col(text).alias("text")).where(F.col("text").rlike("[^\\x00-\\x7f]")).mapInPandas(_count, "a string, b string, instead string, n long").groupBy("a", "b", "instead").agg(F.sum("n").alias("n"))
 
 
 class PairModel:
     """log P(b | a) of adjacent characters, and their mutual information, from pair_counts()."""
 
-    def __init__(self, rows: list[tuple[str, str, int]]) -> None:
-        self.n = {(a, b): n for a, b, n in rows}
+    def __init__(self, rows: list[tuple[str, str, str, int]]) -> None:
+        self.n = {(a, b): n for a, b, c, n in rows if not c}
+        common: Counter = Counter()
+        for (_, b), n in self.n.items():
+            common[b] += n
+        for a, b, c, n in rows:
+            if c and common[c.translate(_FOLD)] < n:  # what it would stand for is rarer than what stands here
+                self.n[a, b] = self.n.get((a, b), 0) + n
         self.left: Counter = Counter()
         self.right: Counter = Counter()
         for (a, b), n in self.n.items():
@@ -164,6 +189,7 @@ class PairModel:
             self.right[b] += n
         self.total = max(1, sum(self.n.values()))
         self.kinds = max(1, len(self.right))
+        self.arrays()
 
     def log_p(self, a: str, b: str) -> float:
         if a < "\x80" and b < "\x80":
@@ -186,9 +212,9 @@ class PairModel:
         pairs = _pair_counts(text)
         return sum(n * self.log_p(a, b) for (a, b), n in pairs.items()) / max(1, sum(pairs.values()))
 
-    def plain(self, text: str) -> bool:
-        """Whether all pairs of `text` are common enough in the corpus that nothing has to be looked for."""
-        return all(self.n.get(p, 0) * 50 >= self.left[p[0]] > 200 or self.n.get(p, 0) * 20 >= self.right[p[1]] > 200 for p in _pairs(text))
+    def improbable(self, a: str, b: str) -> bool:
+        n = self.n.get((a, b), 0)
+        return n * 2000 < self.left[a] or not n
 
     def runs(self, text: str) -> list[tuple[int, int]]:
         """Maximum-scoring segments of improbability, each widened to whole stretches of characters that aren't ASCII."""
@@ -196,7 +222,7 @@ class PairModel:
         for i in range(len(s) - 1):
             a, b = s[i], s[i + 1]
             plain = a < "\x80" and b < "\x80"
-            gain = -0.4 if plain else -1.0 if a == b == _WIDE else max(-3.0, min(4.0, -self.information(a, b) if self.n.get((a, b), 0) * 2000 < self.left[a] or not self.n.get((a, b)) else -1.0))
+            gain = -0.4 if plain else -1.0 if a == b == _WIDE else max(-3.0, min(4.0, -self.information(a, b) if self.improbable(a, b) else -1.0))
             if total <= 0 and gain > 0:
                 begin, total, best, end = i, 0.0, 0.0, i
             total += gain
@@ -210,26 +236,88 @@ class PairModel:
         return out
 
 
-    def joint(self, text: str) -> float:
-        """Sum of the logarithms of the pairs' own frequencies: how common what stands here is in the corpus, whatever goes before."""
-        return sum(n * math.log(self.n.get(p, 0) + 0.05) for p, n in _pair_counts(text).items())
-
-    def dull_runs(self, text: str) -> list[tuple[int, int]]:
+    def arrays(self) -> None:
+        """Frequencies and single-byte inverses over one numbering of all their characters, made once."""
+        chars = sorted({c for p in self.n for c in p} | {x for t in _SINGLE.values() for k, v in t.items() for x in (chr(k), v)})
+        self.at = {c: i for i, c in enumerate(chars)}
+        self.size = len(chars) + 1  # the last stands for every other character
+        coded = sorted((self.at[a] * self.size + self.at[b], n) for (a, b), n in self.n.items())
+        self.codes, self.logs = np.array([c for c, _ in coded] or [-1]), np.log(np.array([n for _, n in coded] or [0]) + 0.05)
+        self.common = np.log(np.array([self.right.get(c, 0) for c in chars] + [0]) + 0.5)
+        self.tables = list(_SINGLE.values())
+        self.moves = np.tile(np.arange(self.size), (len(self.tables), 1))
+        for row, table in zip(self.moves, self.tables):
+            for k, v in table.items():
+                row[self.at[chr(k)]] = self.at[v]
+
+    def _log(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        code = a * self.size + b
+        i = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        return np.where(self.codes[i] == code, self.logs[i], math.log(0.05))
+
+    def better(self, pairs: Counter) -> np.ndarray:
+        """By single-byte inverse: how much commoner, in logarithms of their own frequencies, the pairs would be under it."""
+        last = self.size - 1
+        a, b = (np.array([self.at.get(p[k], last) for p in pairs], dtype=np.int64) for k in (0, 1))
+        n = np.fromiter(pairs.values(), dtype=float, count=len(pairs))
+        return (self._log(self.moves[:, a], self.moves[:, b]) - self._log(a, b)) @ n
+
+    def moved(self, chars: Counter) -> tuple[np.ndarray, np.ndarray]:
+        """By single-byte inverse: how many of the characters it changes, and how much commoner they would be."""
+        c = np.array([self.at.get(x, self.size - 1) for x in chars], dtype=np.int64)
+        n = np.fromiter(chars.values(), dtype=float, count=len(chars))
+        return (self.moves[:, c] != c) @ n, (self.common[self.moves[:, c]] - self.common[c]) @ n
+
+    def dull_runs(self, text: str, pairs: Counter) -> list[tuple[int, int]]:
         """The whole text as one run, where one single-byte alphabet may be taken for another: its pairs are attested, but rare on
         the whole, or its characters would be far more common ones by some inverse mapping."""
-        if self.mean(text) < DULL:
+        if not pairs:
+            return []
+        if sum(n * self.log_p(a, b) for (a, b), n in pairs.items()) < DULL * sum(pairs.values()):
             return [(0, len(text))]
         chars = Counter(c for c in text if "\x80" <= c < _WIDE)
-        total = sum(chars.values())
-        common = lambda c: math.log(self.right.get(c, 0) + 0.5)
-        now = {c: common(c) for c in chars}
-        for table in _single_tables(frozenset(chars)):
-            if total and sum(n * (common(table[ord(c)]) - now[c]) for c, n in chars.items() if ord(c) in table) > max(2.0, 0.7 * total):
-                return [(0, len(text))]
-        return []
+        return [(0, len(text))] if chars and self.moved(chars)[1].max() > max(2.0, 0.7 * sum(chars.values())) else []
+
+    def further(self, text: str, runs: list[tuple[int, int]], inverse: _Utf8Inverse) -> tuple[float, list[tuple[int, int]]]:
+        """Stretches outside the runs that the mapping decodes to something likelier, with what they gain together."""
+        gained, out, at = 0.0, [], 0
+        for begin, end in [*runs, (len(text), len(text))]:
+            for m in inverse.pattern.finditer(text, at, begin):
+                before, after = text[max(0, m.start() - 1) : m.start()], text[m.end() : m.end() + 1]
+                gain = self.score(before + inverse.decoded(m) + after) - self.score(before + m[0] + after)
+                if gain > 0:
+                    gained += gain
+                    out.append((m.start(), m.end()))
+            at = end
+        return gained, out
 
+    def held(self, text: str, table: dict[int, str]) -> list[tuple[int, int]]:
+        """The runs of a text for a mapping: all of it but for the maximum-scoring segments of what the mapping would make much rarer."""
+        s, t = text.translate(_FOLD), text.translate(table).translate(_FOLD)
+        out, begin, worst, total, end, at = [], 0, 0.0, 0.0, 0, 0
+        log = lambda a, b: math.log(self.n.get((a, b), 0) + 0.05)
+        for i in range(len(s) - 1):
+            if s[i] < "\x80" and s[i + 1] < "\x80" or s[i] == s[i + 1] == _WIDE:
+                continue
+            loss = log(s[i], s[i + 1]) - log(t[i], t[i + 1])
+            if total <= 0 and loss > 0:
+                begin, total, worst, end = i, 0.0, 0.0, i
+            total += loss
+            if total > worst:
+                worst, end = total, i + 2
+            if total <= 0 or total < worst - 6:
+                if worst > 6:
+                    out.append((at, begin))
+                    at = end
+                total = worst = 0.0
+        if worst > 6:
+            out.append((at, begin))
+            at = end
+        return [(b, e) for b, e in [*out, (at, len(text))] if e > b]
 
-def _apply(text: str, runs: list[tuple[int, int]], inverse) -> str:
+
+def _widened(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The runs widened to whole stretches of characters that aren't ASCII, in order and apart."""
     out, at = [], 0
     for begin, end in runs:
         while begin > at and text[begin - 1] >= "\x80":
@@ -238,11 +326,37 @@ def _apply(text: str, runs: list[tuple[int, int]], inverse) -> str:
             end += 1
         begin = max(begin, at)
         if end > begin:
-            out += [text[at:begin], inverse(text[begin:end])]
+            out.append((begin, end))
             at = end
+    return out
+
+
+def _apply(text: str, runs: list[tuple[int, int]], inverse) -> str:
+    out, at = [], 0
+    for begin, end in runs:
+        out += [text[at:begin], inverse(text[begin:end])]
+        at = end
     return "".join(out) + text[at:]
 
 
+def _single(now: str, runs: list[tuple[int, int]], pairs: Counter, model: PairModel) -> tuple[float, str] | None:
+    """What the best single-byte inverse makes of the text, with its gain: it must better the runs and, with all it holds for, the text."""
+    chars = Counter(c for b, e in runs for c in now[b:e] if c >= "\x80")
+    if not chars:
+        return None
+    changed, _ = model.moved(chars)
+    inside: Counter = Counter()
+    for b, e in runs:
+        inside.update(_pair_counts(now[max(0, b - 1) : e + 1]))
+    gains = np.where((changed > 0) & (model.better(inside) > 0), model.better(pairs), -np.inf)
+    k = int(gains.argmax())
+    everywhere, _ = model.moved(Counter(c for c in now if c >= "\x80"))
+    if not gains[k] > MIN_GAIN + 1 or not gains[k] > 0.8 * everywhere[k]:
+        return None
+    table = model.tables[k]
+    return float(gains[k]), _apply(now, model.held(now, table), lambda t: t.translate(table))
+
+
 def restore(text: str | None, model: PairModel) -> tuple[bool, str | None]:
     """(whether the text is garbled, the original or None where it can't be had in full).
 
@@ -253,64 +367,45 @@ def restore(text: str | None, model: PairModel) -> tuple[bool, str | None]:
         return False, None
     if _LOST.search(text):
         return True, None
-    if model.plain(text):
-        return False, None
     now, found = text, False
-    for _ in range(MOST_LAYERS):
-        if not (runs := model.runs(now)) and not (runs := model.dull_runs(now)):
+    while True:
+        pairs = _pair_counts(now)
+        runs = model.runs(now) if any(model.improbable(*p) for p in pairs) else []
+        if not runs and not (runs := model.dull_runs(now, pairs)):
             break
-        score, best = model.score(now), None
-        tried: set[str] = set()
-        mappings = [(f.pattern.search, f) for f in _UTF8.values()]
-        if (inside := "".join(now[b:e] for b, e in runs)) and not found:
-            chars = frozenset(c for c in inside if c >= "\x80")
-            base = model.joint(now)
-            for table in _single_tables(chars):
-                new = now.translate(table)
-                gain = model.joint(new) - base
-                if gain > MIN_GAIN + 1 and gain > 0.8 * sum(a != b for a, b in zip(now, new)) and (best is None or gain > best[0]):
-                    best = gain, new
-            if best is not None:
-                best = max(MIN_GAIN, model.score(best[1]) - score), best[1]
-        for test, inverse in mappings:
-            if not test(now):
+        runs = _widened(now, runs)
+        score = lambda inverse, runs=runs, now=now: sum(model.score(now[max(0, b - 1) : b] + inverse(now[b:e]) + now[e : e + 1]) for b, e in runs)
+        best = _single(now, runs, pairs, model) if not found else None
+        if best is not None:  # on the scale of the scores below
+            best = max(MIN_GAIN, model.score(best[1]) - model.score(now)), best[1]
+        stands, tried = None, set()
+        for inverse in _UTF8.values():
+            if not any(inverse.pattern.search(now, b, e) for b, e in runs):
                 continue
             new = _apply(now, runs, inverse)
             if new == now or new in tried:
                 continue
             tried.add(new)
-            for candidate in {new: 0, inverse(now): 0}:  # what holds inside the runs is tried on what is left between them
-                if (gain := model.score(candidate) - score) > (best[0] if best else MIN_GAIN):
-                    best = gain, candidate
-        if best is None or model.plain(now):
+            stands = score(str) if stands is None else stands
+            if (gain := score(inverse) - stands) <= MIN_GAIN:
+                continue
+            if (more := model.further(now, runs, inverse))[0] > 0:  # where the mapping holds in the runs, what else it betters is a run too
+                gain, new = gain + more[0], _apply(now, sorted(runs + more[1]), inverse)
+            if best is None or gain > best[0]:
+                best = gain, new
+        if best is None:
             break
         now, found = best[1], True
     held = re.search("[\x80-\x9f]", now) is not None
     return (True, None if held else now) if found else (held, None)
 
 
-_tables: dict[frozenset, list[dict]] = {}
-
-
-def _single_tables(chars: frozenset) -> list[dict]:
-    """The single-byte inverses that differ on these characters, each kind once."""
-    if chars not in _tables:
-        if len(_tables) > 1000:
-            _tables.clear()
-        kinds: dict[tuple, dict] = {}
-        for table in _SINGLE.values():
-            if moved := tuple(sorted((ord(c), table[ord(c)]) for c in chars if ord(c) in table)):
-                kinds.setdefault(moved, table)
-        _tables[chars] = list(kinds.values())
-    return _tables[chars]
-
-
 def garbled_documents(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, restored_md5, restored) of every garbled text of `docs`; restored_md5 is '' and restored null where the original can't be had.
 
     The pair counts are gathered by one aggregation whose result is bounded by the alphabets; the texts themselves aren't moved.
     """
-    rows = [(r["a"], r["b"], r["n"]) for r in pair_counts(docs, text).collect()]  # bounded by the alphabets
+    rows = [(r["a"], r["b"], r["instead"], r["n"]) for r in pair_counts(docs, text).collect()]  # bounded by the alphabets
     shared = docs.sparkSession.sparkContext.broadcast(rows)
     held: dict[str, PairModel] = {}
 
