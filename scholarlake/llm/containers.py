@@ -1,9 +1,11 @@
 """Filling containers of fixed capacity with items of varying length.
 
 The items' lengths make a histogram no longer than the capacity. Over it stands the configuration linear program (as few
-configurations as possible, each a set of lengths that fits, covering all items), solved by multiplicative weights with a
-knapsack dynamic programme as the pricing step, then rounded down and filled up by best fit. Items take the slots of their length
-by rank; ranks are counted in salted groups.
+configurations as possible, each a set of lengths that fits, covering all items). Multiplicative weights on the lengths price
+configurations by a knapsack dynamic programme: of each length the best configuration that holds it, all that are nearly the best
+being raised together. Any weights bound the containers needed from below; every few rounds what was raised is rounded down and
+filled up by best fit, the best such plan is kept, and the rounds end when it is within GAP of the bound. Items take the slots of
+their length by rank; ranks are counted in salted groups.
 """
 
 from __future__ import annotations
@@ -18,66 +20,39 @@ from pyspark.sql import functions as F
 from scholarlake.plans.cluster import cut
 
 CAPACITY = 2_048
-ROUNDS = 100
-RATE = 0.08
+ROUNDS = 60  # of each rate, where the gap isn't closed before
+RATES = (0.1, 0.5)
+NEARLY = 0.02  # how far below the best a configuration's price may be to be raised with it
+GAP = 0.001
 GROUP = 200_000  # items of one length ranked together
 
 
-def price(values: np.ndarray, capacity: int) -> np.ndarray:
-    """The unbounded knapsack: multiplicities by length (index 0 unused) of the set of greatest value that fits."""
-    lengths = np.flatnonzero(values > 0)
-    worth = values[lengths]
+def price(worth: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """The unbounded knapsack over all capacities up to this one: the greatest worth that fits, and the length taken last (0: none)."""
     best = np.zeros(capacity + 1)
     took = np.zeros(capacity + 1, dtype=np.int64)
-    for c in range(1, capacity + 1):
-        best[c], took[c] = best[c - 1], 0
+    for c in range(int(lengths[0]), capacity + 1):
         n = np.searchsorted(lengths, c, side="right")
-        if n:
-            with_ = best[c - lengths[:n]] + worth[:n]
-            k = int(with_.argmax())
-            if with_[k] > best[c]:
-                best[c], took[c] = with_[k], lengths[k]
-    out = np.zeros(len(values), dtype=np.int64)
-    c = capacity
-    while c > 0:
-        if took[c]:
-            out[took[c]] += 1
-            c -= took[c]
-        else:
-            c -= 1
-    return out
-
-
-def configurations(counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[np.ndarray, int]]:
-    """(multiplicities by length, how many containers are filled so): together they hold counts[l] items of each length l exactly."""
-    left = counts.astype(np.int64).copy()
-    out: list[tuple[np.ndarray, int]] = []
-    needed = counts > 0
-    if not needed.any():
-        return out
-    weights = np.where(needed, np.arange(len(counts)) / capacity, 0.0)
-    cover = np.zeros(len(counts))
-    plans: dict[bytes, list] = {}
-    per = np.where(needed, counts, 1).astype(float)
-    for _ in range(rounds):
-        pattern = price(weights / per, capacity)
-        used = pattern > 0
-        amount = (per[used] / pattern[used]).min()  # no length is covered more than once by it
-        plan = plans.setdefault(pattern.tobytes(), [pattern, 0.0])
-        plan[1] += amount
-        gained = np.where(used, pattern * amount / per, 0.0)
-        cover += gained
-        weights *= np.exp(-RATE * 10 * gained)
-        weights /= weights.max()
-    least = max(cover[needed].min(), 1e-9)
-    for pattern, amount in sorted(plans.values(), key=lambda x: -x[1]):
-        used = pattern > 0
-        k = int(min(np.floor(amount / max(least, 1.0)), (left[used] // pattern[used]).min()))
-        if k:
-            left -= k * pattern
-            out.append((pattern, k))
-    while left.any():  # best fit over what rounding left: the longest that fits, again and again
-        pattern, room = np.zeros(len(counts), dtype=np.int64), capacity
+        got = best[c - lengths[:n]] + worth[:n]
+        k = got.argmax()
+        best[c], took[c] = (got[k], lengths[k]) if got[k] > best[c - 1] else (best[c - 1], 0)
+    return best, took
+
+
+def _taken(took: np.ndarray, room: int, first: int) -> tuple[int, ...]:
+    out = [first]
+    while room > 0:
+        if took[room]:
+            out.append(int(took[room]))
+        room -= int(took[room]) or 1
+    return tuple(sorted(out))
+
+
+def best_fit(left: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
+    """(multiplicities by length, containers) that hold left[l] items of each length: the longest that fits, again and again."""
+    left, out = left.copy(), []
+    while left.any():
+        pattern, room = np.zeros(len(left), dtype=np.int64), capacity
         have = np.flatnonzero(left)
         while room > 0:
             i = int(np.searchsorted(have, room, side="right")) - 1
@@ -99,6 +74,65 @@ def configurations(counts: np.ndarray, capacity: int = CAPACITY, rounds: int = R
     return out
 
 
+def rounded(raised: dict[tuple[int, ...], float], least: float, counts: np.ndarray, capacity: int) -> tuple[list[tuple[np.ndarray, int]], int]:
+    """The plan that what was raised comes to, over its least cover, in whole containers, the rest by best fit; and how many are the program's."""
+    left, out, by_program = counts.astype(np.int64).copy(), [], 0
+    for taken, amount in sorted(raised.items(), key=lambda x: (-x[1], x[0])):
+        lengths, each = np.unique(taken, return_counts=True)
+        k = int(min(np.floor(amount / least + 1e-9), (left[lengths] // each).min()))
+        if k > 0:
+            left[lengths] -= k * each
+            by_program += k
+            pattern = np.zeros(len(counts), dtype=np.int64)
+            pattern[lengths] = each
+            out.append((pattern, k))
+    return out + best_fit(left, capacity), by_program
+
+
+def solved(counts: np.ndarray, capacity: int = CAPACITY) -> tuple[list[tuple[np.ndarray, int]], int, int]:
+    """(plan, least, by_program): (multiplicities by length, containers) that hold counts[l] items of each length l exactly, the
+    fewest containers any plan can have by the best dual bound found, and how many of the plan's come from the program."""
+    plan, by_program = best_fit(counts, capacity), 0
+    lengths = np.flatnonzero(counts)
+    if not len(lengths):
+        return plan, 0, 0
+    n, place = counts[lengths].astype(float), np.zeros(capacity + 1, dtype=np.int64)
+    place[lengths] = np.arange(len(lengths))
+    used = lambda p: sum(k for _, k in p)
+    least = 0
+    for rate in RATES:
+        worth, cover, raised = lengths / capacity, np.zeros(len(lengths)), {}
+        for t in range(ROUNDS):
+            best, took = price(worth, lengths, capacity)
+            top = best[capacity]
+            least = max(least, int(np.ceil(n @ worth / top - 1e-6)))
+            holding = worth + best[capacity - lengths]
+            fresh = {_taken(took, capacity - int(lengths[i]), int(lengths[i])) for i in np.flatnonzero(holding >= (1 - NEARLY) * top)}
+            parts = [(c, *np.unique(place[list(c)], return_counts=True)) for c in sorted(fresh)]
+            load, gained = np.zeros(len(lengths)), np.zeros(len(lengths))
+            for _, at, _ in parts:
+                load[at] += 1
+            for c, at, each in parts:  # no length is covered more than once by a round
+                amount = (n[at] / each / load[at]).min()
+                raised[c] = raised.get(c, 0.0) + amount
+                gained[at] += each * amount / n[at]
+            cover += gained
+            worth = worth * np.exp(-rate * gained)
+            worth /= worth.max()
+            if t % 5 == 4 and cover.min() > 0:
+                made, own = rounded(raised, cover.min(), counts, capacity)
+                if used(made) <= used(plan):
+                    plan, by_program = made, own
+                if used(plan) <= least * (1 + GAP):
+                    return plan, least, by_program
+    return plan, least, by_program
+
+
+def configurations(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[np.ndarray, int]]:
+    """The plan of solved()."""
+    return solved(counts, capacity)[0]
+
+
 def slots(plans: list[tuple[np.ndarray, int]]) -> pd.DataFrame:
     """For each length the runs of its slots: ranks from `start` on go to containers from `first` on, `each` to one, from `at` in it."""
     rows, taken = [], {}

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholarlake.llm.bpe import encode, token_counts
-from scholarlake.llm.containers import CAPACITY, containers
+from scholarlake.llm.containers import CAPACITY, containers, solved
 from scholarlake.llm.garbled import garbled_documents
-from scholarlake.llm.pieces import newest_texts, piece_table, pieces, ranges_of
+from scholarlake.llm.pieces import newest_texts, pieces, ranges_of, stitched
 from scholarlake.llm.scans import repaired
 from scholarlake.plans.cluster import spread
 from scholarlake.sources.tables import table
@@ -32,8 +33,8 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items that had to be split: those with a first piece in the piece table."""
-    return piece_table(ranges_of(_long_texts(spark, sf_dir))).where("piece_no = 0").select("tbl", "item_key")
+    """Items that had to be split: those whose ranges are entered by a first piece."""
+    return stitched(ranges_of(_long_texts(spark, sf_dir))).where("first_no = 0").select("tbl", "item_key")
 
 
 def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,9 +55,18 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Containers used, the fewest there could be, and the share of room filled."""
-    used = p9_containers(spark, sf_dir).agg(F.count_distinct("container").alias("containers"), F.sum("length").alias("tokens"))
-    return used.select("containers", F.ceil(F.col("tokens") / CAPACITY).alias("least"), F.round(F.col("tokens") / (F.col("containers") * CAPACITY), 6).alias("filled"))
+    """Containers used, the fewest there could be by the program's dual bound, those that come from the program, and the share of room filled."""
+    placed = p9_containers(spark, sf_dir)
+    lengths = placed.where("length > 0").groupBy("length").agg(F.count("*").alias("n")).collect()  # at most the capacity
+    counts = np.zeros(CAPACITY + 1, dtype=np.int64)
+    for r in lengths:
+        counts[r["length"]] = r["n"]
+    whole, counts[CAPACITY] = int(counts[CAPACITY]), 0  # parts of the capacity fill a container each
+    plan, least, by_program = solved(counts)
+    used = sum(k for _, k in plan) + whole
+    tokens = int((counts * np.arange(CAPACITY + 1)).sum()) + whole * CAPACITY
+    row = (used, least + whole, by_program + whole, round(tokens / max(1, used * CAPACITY), 6))
+    return spark.createDataFrame([row], "containers long, least long, by_program long, filled double")
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -200,6 +200,28 @@ def test_pieces(spark):
         check_pieces(texts[k], [r for r in got if r.item_key == k])
     assert all(r.piece.rstrip().endswith(".") for r in got if r.item_key == "prose")
     assert pieces.pieces(df.limit(0)).count() == 0
+    whole = pieces.pieces(df, size=1_000_000).drop("piece").collect()  # ranges change nothing
+    assert sorted(map(tuple, whole)) == sorted((r.tbl, r.item_key, r.piece_no, r.start, r.end, r.repeated) for r in got)
+
+
+def test_ranges_agree():
+    rng = random.Random(9)
+    for _ in range(60):
+        text = "".join(rng.choice(["word ", "x" * rng.randrange(400), " " * rng.randrange(1, 200), "end. ", "part, ", "\n\n", "\n", "\f", "土。", 'said." ']) for _ in range(rng.randrange(20, 400)))
+        limit, overlap, size = 256, 32, 512
+        want = pieces.Stretch(text, 0, len(text), 0, len(text) + 1, limit, overlap).follow(0)
+        got, at = [], 0
+        for k, low in enumerate(range(0, len(text), size)):
+            base = max(0, low - 64)
+            part = pieces.Stretch(text[base : low + size + 2 * limit + 64], base, len(text), low, low + size, limit, overlap)
+            ways = part.ways()
+            if at < 0 or at >= low + size:
+                continue
+            found = part.follow(at)
+            got += found
+            assert ways[at][1] == len(found)
+            at = ways[at][0]
+        assert got == want and got[-1][1] == len(text)
 
 
 def test_newest(spark):
@@ -320,8 +342,21 @@ def test_price():
         best = [0.0] * 13
         for c in range(1, 13):
             best[c] = max(best[c - 1], *(best[c - l] + v[l] for l in range(1, c + 1)))
-        p = containers.price(v, 12)
-        assert abs((p * v).sum() - best[12]) < 1e-9 and (p * np.arange(13)).sum() <= 12
+        got, took = containers.price(v[1:], np.arange(1, 13), 12)
+        assert np.allclose(got, best)
+        taken = containers._taken(took, 12 - int(took[12]), int(took[12])) if took[12] else ()
+        assert not taken or abs(v[list(taken)].sum() - best[12]) < 1e-9 and sum(taken) <= 12
+
+
+def test_program_where_best_fit_is_not_enough():
+    rng = np.random.default_rng(1)
+    for low, high, most in ((600, 760, 3_350), (600, 1_100, 4_500)):
+        counts = np.zeros(2_049, dtype=np.int64)
+        np.add.at(counts, rng.integers(low, high, 10_000), 1)
+        plan, least, by_program = containers.solved(counts)
+        used = sum(k for _, k in plan)
+        assert (sum(k * p for p, k in plan) == counts).all() and all((p * np.arange(2_049)).sum() <= 2_048 for p, _ in plan)
+        assert least <= used <= most < sum(k for _, k in containers.best_fit(counts, 2_048)) and by_program > used // 2
 
 
 # ---- p10
