@@ -20,7 +20,9 @@ from scholarlake.llm.names import NONE, PART, SAME, close, compare_organisations
 from scholarlake.plans.cluster import cut
 
 LONG = 40  # letters from which a surname is indexed by runs of letters
-LEXICON_SHARE = 0.0005  # of all spellings a word must lead to count as a given name: so there are at most 2,000
+LEXICON_SHARE = 0.0005  # of all spellings a word must lead to count as a given name
+EVIDENCE = 100  # spellings it must lead at most, however many there are
+RARER = 20  # times rarer than a name it is close to: then it is a slip of that name, and none itself
 _PARTS = "name string, n long, kind string, surname string, given array<string>, number string, keys array<string>, weak int"
 
 
@@ -43,24 +45,36 @@ def _word_roles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def lexicons(spellings: DataFrame) -> tuple[set[str], dict[str, list[str]], set[str]]:
     """Given names, nicknames with what they stand for, and last parts of compound surnames, as the spellings themselves show them.
 
-    A given name leads at least LEXICON_SHARE of all spellings, which bounds the set, as the same share bounds the last parts; nicknames are those typed in quotes
-    beside a given name, at most ten to a name.
+    A given name leads LEXICON_SHARE of all spellings, or EVIDENCE of them in a large corpus, and is no slip of a far commoner one;
+    last parts alike. Nicknames are those typed in quotes beside a given name. What is gathered are the different given names of
+    the world, not spellings.
     """
     total = spellings.count()
     roles = spellings.select("name").mapInPandas(_word_roles, "word string, nick string, first int, last int, tail int").groupBy("word", "nick").agg(F.sum("first").alias("first"), F.sum("last").alias("last"), F.sum("tail").alias("tail"), F.count("*").alias("n"))
     roles = roles.cache()
-    least = max(3, LEXICON_SHARE * total)
-    givens = {r["word"] for r in roles.where((F.col("nick") == "") & (F.col("first") >= least) & (F.col("first") > 2 * F.col("last"))).select("word").collect()}
+    least = min(max(3, LEXICON_SHARE * total), EVIDENCE)
+    givens = without_slips({r["word"]: r["first"] for r in roles.where((F.col("nick") == "") & (F.col("first") >= least) & (F.col("first") > 2 * F.col("last"))).select("word", "first").collect()})
     tails = {r["word"] for r in roles.where((F.col("tail") >= least) & (F.col("tail") * 2 > F.col("last"))).select("word").collect()}
     nicks: dict[str, list[str]] = {}
     if givens:
-        told = roles.where((F.col("nick") != "") & F.col("word").isin(sorted(givens))).orderBy(F.desc("n"), "nick").limit(10 * len(givens)).collect()
-        for r in told:
+        told = roles.where((F.col("nick") != "") & (F.col("word") != "")).collect()
+        for r in sorted(told, key=lambda r: (-r["n"], r["nick"], r["word"])):
+            if r["word"] not in givens:
+                continue
             nicks.setdefault(r["nick"], []).append(r["word"])
     roles.unpersist()
     return givens, nicks, tails
 
 
+def without_slips(led: dict[str, int]) -> set[str]:
+    """The words of `led` (with the spellings each leads) that aren't close to another that leads RARER times as many."""
+    index: dict[str, list[str]] = {}
+    for w in led:
+        for r in rests(w):
+            index.setdefault(r, []).append(w)
+    return {w for w, n in led.items() if not any(led[x] >= RARER * n and close(w, x) for r in rests(w) for x in index[r])}
+
+
 def _keys(x: dict, nicks: dict[str, list[str]]) -> list[str]:
     """What a spelling must share with another besides a close surname; for organisations all of it."""
     if x["kind"] == "o":
