@@ -42,12 +42,12 @@ def fill_blank(target: DataFrame, source: DataFrame, key: str, columns: list[str
     return joined.select(*((F.coalesce(blank_to_null(F.col(c)), F.col(f"_{c}")).alias(c) if c in columns else F.col(c)) for c in target.columns))
 
 
-def fill_unique(target: DataFrame, offers: DataFrame, key: str, column: str) -> DataFrame:
-    """Blank `column` values filled from `offers` (key, column) where no row holds the value yet, whatever its case.
+def fill_unique(target: DataFrame, offers: DataFrame, key: str, column: str, cased: bool = False) -> DataFrame:
+    """Blank `column` values filled from `offers` (key, column) where no row holds the value yet, whatever its case unless `cased`.
 
     Of several keys offered one value the least gets it. Taken values are anti-joined, not compared row by row.
     """
-    value = F.lower(F.trim(column))
+    value = F.trim(column) if cased else F.lower(F.trim(column))
     taken = target.where(~missing(F.col(column))).select(value.alias("_v")).distinct()
     free = offers.where(~missing(F.col(column))).select(key, F.trim(column).alias("_new"), value.alias("_v"))
     blank = target.where(missing(F.col(column))).select(key)
