@@ -27,7 +27,14 @@ TIME_RANGE = r"\b(when +(did|was|were|is)|(what|which) +(year|time period|date r
 LISTING = r"\b(who|what|which) +else\b|^(identify|list|name|find|suggest|show)\b|\b(who|what) +(are|were|study|studies|work +on|works? +in)\b|\bshow +me\b|^which\b"
 PRONOUNS = r"\b(he|she|they|him|her|them|his|hers|their|theirs|it|its|this|that|these|those)\b"
 GOING_ON = "what about|how about|tell me more|anything else|who else|what else"
-SUMMARY_QUESTION = r"\b(summar(y|ies|i[sz]e)|abstract|overview|describe|mechanisms? described|findings? (in|from)|what (does|do|did|is|are) .{0,40} (research|study|work|paper|finding|mechanism|about))\b"
+SUMMARY_QUESTION = (
+    r"\b(summarize|summarise|summary|summaries|abstract|overview|describe|what (does|do|did|is|are) .{0,40} (research|study|work|paper|finding|mechanism|about)|"
+    r"mechanisms? described|findings? (in|from)|what (mechanisms?|findings?))\b"
+)
+ESCAPE_QUESTION = (
+    r"\b(who else|what else|other (researchers?|faculty|people|authors?|scientists?)|others|besides|apart from|different (from|researcher|faculty)|not .{0,30} but|"
+    r"also (stud(y|ies)|work|research)|anyone else|somebody else|someone else|studies this (topic|area|field|subject)|works on this)\b"
+)
 
 SPACE = r"[ \t\r\n\f\x0B]+"
 YEAR = r"\b((?:19|20)[0-9]{2})\b"
@@ -222,4 +229,4 @@ def summary_intent(c: Column) -> Column:
 
 
 def anchor_escape(c: Column) -> Column:
-    return F.coalesce(F.lower(c), F.lit("")).rlike(r"\b(who else|anyone else|someone else|other (researchers?|people|authors?)|besides|apart from|other than)\b")
+    return F.coalesce(F.lower(c), F.lit("")).rlike(ESCAPE_QUESTION)

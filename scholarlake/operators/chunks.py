@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,36 +14,37 @@ MOST_TOKENS = 512
 OVERLAP_TOKENS = 128
 
 
-def _tokens(s: Column) -> Column:
-    return F.floor(F.size(F.filter(F.split(s, r"[ \t\r\n\f\x0B]+"), lambda w: w != "")) * F.lit(1.3)).cast("long")
+def packs(sentences: list[str], most: int = MOST_TOKENS, overlap: int = OVERLAP_TOKENS) -> list[str]:
+    """Chunks of whole sentences; each sentence is looked at once, and once more for each chunk it is carried into."""
+    tokens = [int(len(re.findall(r"[^ \t\r\n\f\x0b]+", s)) * 1.3) for s in sentences]
+    out, first, held = [], 0, 0
+    for i, t in enumerate(tokens):
+        if held + t > most and i > first:
+            out.append(" ".join(sentences[first:i]))
+            kept, j = 0, i
+            while j > first and kept + tokens[j - 1] <= overlap:
+                j -= 1
+                kept += tokens[j]
+            first, held = j, kept
+        held += t
+    if first < len(sentences):
+        out.append(" ".join(sentences[first:]))
+    return out
 
 
 def packed_sentences(text: Column, most: int = MOST_TOKENS, overlap: int = OVERLAP_TOKENS) -> Column:
     """Array of chunks of at most `most` estimated tokens, each beginning with the last sentences of the one before.
 
-    A fold over the sentences inside the JVM. Tokens are estimated and cut to whole numbers sentence by sentence. A sentence
-    over the limit is a chunk of its own; what is carried over is the longest run of last sentences within `overlap`.
+    Linear in the text, over Arrow batches. Tokens are estimated and cut to whole numbers sentence by sentence. A sentence over the
+    limit is a chunk of its own; what is carried over is the longest run of last sentences within `overlap`. Null gives null,
+    blank no chunk.
     """
-    item = "struct<s:string,t:bigint>"
-    empty = F.struct(F.array().cast("array<string>").alias("out"), F.array().cast(f"array<{item}>").alias("buf"), F.lit(0).cast("long").alias("tok"))
-    join = lambda buf: F.array_join(F.transform(buf, lambda x: x["s"]), " ")
-
-    def kept(buf: Column) -> Column:
-        start = F.struct(F.array().cast(f"array<{item}>").alias("keep"), F.lit(0).cast("long").alias("t"), F.lit(False).alias("full"))
-        step = lambda a, x: F.when(a["full"] | (a["t"] + x["t"] > overlap), F.struct(a["keep"].alias("keep"), a["t"].alias("t"), F.lit(True).alias("full"))).otherwise(
-            F.struct(F.concat(F.array(x), a["keep"]).alias("keep"), (a["t"] + x["t"]).alias("t"), F.lit(False).alias("full"))
-        )
-        return F.aggregate(F.reverse(buf), start, step, lambda a: F.struct(a["keep"].alias("keep"), a["t"].alias("t")))
-
-    def step(a: Column, x: Column) -> Column:
-        carried = kept(a["buf"])
-        spilt = F.struct(F.concat(a["out"], F.array(join(a["buf"]))).alias("out"), F.concat(carried["keep"], F.array(x)).alias("buf"), (carried["t"] + x["t"]).alias("tok"))
-        grown = F.struct(a["out"].alias("out"), F.concat(a["buf"], F.array(x)).alias("buf"), (a["tok"] + x["t"]).alias("tok"))
-        return F.when((a["tok"] + x["t"] > most) & (F.size(a["buf"]) > 0), spilt).otherwise(grown)
-
-    items = F.transform(sentences(text), lambda s: F.struct(s.alias("s"), _tokens(s).alias("t")))
-    done = lambda a: F.when(F.size(a["buf"]) > 0, F.concat(a["out"], F.array(join(a["buf"])))).otherwise(a["out"])
-    return F.when(strip(text) == "", F.array().cast("array<string>")).otherwise(F.aggregate(items, empty, step, done))
+
+    @F.pandas_udf("array<string>")
+    def run(lists: pd.Series) -> pd.Series:
+        return pd.Series([packs(list(s), most, overlap) if s is not None else None for s in lists], index=lists.index, dtype=object)
+
+    return run(sentences(text))
 
 
 def context_prefix(work: DataFrame) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -45,7 +46,7 @@ _SPAN = "([A-Z][a-z]+(?: [A-Z][a-z]+){1,3})"
     select doc_id, list_filter(a, lambda x, i: list_position(a, x) = i)[:6] people, list_filter(k, lambda x, i: list_position(k, x) = i)[:6] acronyms, list_filter(q, lambda x, i: list_position(q, x) = i)[:6] quoted from e""",
 )
 def fn_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FN69, FN71, FN72, FN74, FN75, FN77, FN101: capitalised spans, acronyms and quoted spans of texts, the first six of each."""
+    """FN69, FN71, FN72, FN75: capitalised spans, acronyms and quoted spans of texts, the first six of each."""
     d = table(spark, sf_dir, "documents").where("text is not null")
     first = lambda pattern: F.slice(F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(1))), 1, 6)
     return d.select("doc_id", first(_SPAN).alias("people"), first("(?:^|[ (])([A-Z]{2,6}[0-9]*)(?:[ ,.;)]|$)").alias("acronyms"), first('[“"]([^”"]{3,80})[”"]').alias("quoted"))
@@ -68,7 +69,7 @@ _ONE_PRONOUN = r"(?i)^(.*?)\b(he|she|they|him|her|them)\b(.*)$"
     select doc_id, (case when regexp_matches(loose, '{_ONE_PRONOUN}') then regexp_replace(loose, '{_ONE_PRONOUN}', '\\1' || who || '\\3') else rtrim(loose, '?') || ' for ' || who || '?' end)[:220] resolved from t""",
 )
 def qo_rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FN76, QO3-QO5: questions with a pronoun resolved to the anchor: the first pronoun only, else the anchor is appended; at most 220 characters."""
+    """FN76: questions with a pronoun resolved to the anchor: the first pronoun only, else the anchor is appended; at most 220 characters."""
     t = _asked(spark, sf_dir).where("who <> ''").withColumn("loose", F.replace("question", "who", F.lit("they")))
     part = lambda k: F.regexp_extract("loose", _ONE_PRONOUN, k)
     said = F.when(F.col("loose").rlike(_ONE_PRONOUN), F.concat(part(1), "who", part(3))).otherwise(F.concat(F.rtrim("loose", F.lit("?")), F.lit(" for "), "who", F.lit("?")))
@@ -81,7 +82,7 @@ def qo_rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
     select id, cast(levenshtein(a, b) as int) distance, round(1 - levenshtein(a, b)::double / greatest(length(a), length(b)), 6) likeness from t where a <> '' and b <> ''""",
 )
 def fn_title_likeness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FN85, FN86, JN21: how like the title of a record is to that of its paper."""
+    """FN85: how like the title of a record is to that of its paper."""
     plain = lambda c: F.regexp_replace(T.norm(F.col(c)), "[^a-z0-9 ]", "")
     p = current_papers(spark, sf_dir).where("trim(title) <> ''").select("paper_id", "title")
     t = table(spark, sf_dir, "research_info").where("trim(work_title) <> ''").join(p, "paper_id").select("id", plain("work_title").alias("a"), plain("title").alias("b")).where("a <> '' and b <> ''")
@@ -95,17 +96,34 @@ def fn_title_likeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     select doc_id, cast(k as int) k, array_to_string(ss[k * 3 + 1:k * 3 + 3], ' ') paragraph from n""",
 )
 def fn_display_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FN89-FN92: answers in paragraphs of three sentences."""
+    """FN90: answers in paragraphs of three sentences."""
     a = table(spark, sf_dir, "documents").where("doc_kind = 'answer' and trim(text) <> ''").select("doc_id", T.sentences(F.col("text")).alias("ss")).where("size(ss) > 0")
     n = a.select("doc_id", "ss", F.explode(F.sequence(F.lit(0), F.floor((F.size("ss") - 1) / 3).cast("int"))).alias("k"))
     return n.select("doc_id", "k", F.array_join(F.slice("ss", F.col("k") * 3 + 1, F.lit(3)), " ").alias("paragraph"))
 
 
-@query("wn_sentence_dedupe")
+@query(
+    "wn_sentence_dedupe",
+    f"""with recursive s as (select doc_id, list_filter(string_split(regexp_replace({_STRIP('text')}, '([.!?])[ \\t\\r\\n]+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '') ss from documents where doc_kind = 'section' and trim(text) <> ''),
+    r as (select doc_id, ss, 0 i, []::varchar[] kept from s union all select doc_id, ss, i + 1, case when list_contains(kept[-6:], ss[i + 1]) then kept else list_append(kept, ss[i + 1]) end from r where i < len(ss))
+    select doc_id, cast(len(ss) as int) said, cast(len(kept) as int) kept, array_to_string(kept, ' ') text from r where i = len(ss)""",
+)
 def wn_sentence_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """WN11: sections without the sentences that repeat one of the last six kept; a fold inside the JVM."""
+    """WN11: sections without the sentences that repeat one of the last six kept; linear in the text, over Arrow batches."""
     d = table(spark, sf_dir, "documents").where("doc_kind = 'section' and trim(text) <> ''").select("doc_id", T.sentences(F.col("text")).alias("ss"))
-    kept = F.aggregate("ss", F.array().cast("array<string>"), lambda a, s: F.when(F.array_contains(F.slice(a, F.greatest(F.size(a) - 5, F.lit(1)), F.lit(6)), s), a).otherwise(F.concat(a, F.array(s))))
+
+    @F.pandas_udf("array<string>")
+    def fresh(lists: pd.Series) -> pd.Series:
+        out = []
+        for ss in lists:
+            kept: list[str] = []
+            for x in ss:
+                if x not in kept[-6:]:
+                    kept.append(x)
+            out.append(kept)
+        return pd.Series(out, index=lists.index, dtype=object)
+
+    kept = fresh("ss")
     return d.select("doc_id", F.size("ss").alias("said"), F.size(kept).alias("kept"), F.array_join(kept, " ").alias("text"))
 
 
@@ -138,7 +156,7 @@ def sm_memory_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     select researcher, docs, chars, cast((used + 3) // 4 as bigint) tokens from s where (used + 3) // 4 <= 1200 qualify row_number() over (partition by researcher order by docs desc, chars desc) = 1""",
 )
 def qo_prompt_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """QO11-QO13, FN96: the widest caps on documents and characters with which a researcher's evidence fits 1,200 tokens."""
+    """QO11: the widest caps on documents and characters with which a researcher's evidence fits 1,200 tokens."""
     caps = spark.createDataFrame([(16, 600), (12, 600), (8, 450), (4, 450), (2, 300), (1, 160)], "docs int, chars int")
     s = asked_run(spark, sf_dir).select("researcher", "pos", F.length("text").alias("n")).join(F.broadcast(caps), F.col("pos") <= F.col("docs"))
     used = s.groupBy("researcher", "docs", "chars").agg(F.floor((F.sum(F.least("n", "chars")) + 3) / 4).alias("tokens")).where("tokens <= 1200")

@@ -108,7 +108,7 @@ def fn_clean_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     select doc_id, list_has_any(a, b) overlap, cast(len(list_distinct(list_filter(a, lambda x: not list_contains(b, x)))) as int) unanswered from q""",
 )
 def st_token_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ST3, ST4, ST5, PF36, PF38: what words of a question its answer takes up."""
+    """ST3, ST4, ST5: what words of a question its answer takes up."""
     d = table(spark, sf_dir, "documents").where("doc_kind = 'qa_pair' and text is not null")
     a, b = T.words(F.regexp_extract("text", r"^Q: ([^\n]*)", 1)), T.words(F.regexp_extract("text", r"A: (.*)", 1))
     return d.select("doc_id", a.alias("a"), b.alias("b")).select("doc_id", F.arrays_overlap("a", "b").alias("overlap"), F.size(F.array_except("a", "b")).alias("unanswered"))
@@ -146,7 +146,7 @@ def sm_anchor_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("sm_rolling_summary")
 def sm_rolling_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SM8-SM10, FN79-FN82, and C10 without the voted people: the summary each session ends with."""
+    """SM8, SM9, and C10 without the voted people: the summary each session ends with."""
     q = conversations(spark, sf_dir).select("session", "turn", F.regexp_extract("text", r"^Q: ([^\n]*)", 1).alias("question"), T.words(F.regexp_extract("text", r"A: (.*)", 1)).alias("evidence"))
     return dialog.rolling_summaries(q)
 
@@ -159,7 +159,7 @@ def sm_rolling_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     case when docs is null then 'There is not enough context to answer.' else researcher || ': supported by ' || array_to_string(list_transform(titles, lambda t: '"' || t || '"'), '; ') end answer from q left join s using (researcher) left join l using (researcher)""",
 )
 def qo_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """QO1, QO2, QO6, QO8, QO15-QO19: every question of the corpus answered from its evidence, set at a time."""
+    """QO1, QO6, QO15, QO16, QO18, QO19: every question of the corpus answered from its evidence, set at a time."""
     q = table(spark, sf_dir, "documents").where("doc_kind = 'qa_pair'").select("doc_id", F.regexp_extract("text", "^Q: What does (.*) study in", 1).alias("researcher"))
     label = ag_support_confidence(spark, sf_dir).select("researcher", "label")
     evidence = ag_researcher_evidence(spark, sf_dir).select("researcher", "titles")

@@ -131,7 +131,7 @@ def ag_group_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"with {_PAPERS}, {_GROUPED} select paper_id, coalesce(nullif(trim(p.title), ''), m.title) is not null has_title, case when trim(p.title) <> '' then p.title else m.title end title, case when trim(p.authors) <> '' then p.authors else m.authors end authors, case when trim(p.publication_date) <> '' then p.publication_date else m.publication_date end publication_date from papers_now p left join m using (paper_id)",
 )
 def dm_fill_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JN9, DM1, DM2, DM3, DM16: blanks of papers filled from their records."""
+    """JN9, DM1, DM16: blanks of papers filled from their records."""
     filled = quality.fill_blank(current_papers(spark, sf_dir), ag_group_max(spark, sf_dir), "paper_id", ["title", "authors", "publication_date"])
     return quality.with_columns(filled, {"has_title": F.col("title").isNotNull()}).select("paper_id", "has_title", "title", "authors", "publication_date")
 
@@ -144,7 +144,7 @@ def dm_fill_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     select p.paper_id, case when trim(p.doi) <> '' then p.doi else one.v end doi from papers_now p left join one using (paper_id)""",
 )
 def dm_unique_doi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JN10, JN11, DM4, DM5: blank DOIs filled from records, each DOI at most once."""
+    """JN10: blank DOIs filled from records, each DOI at most once."""
     offers = table(spark, sf_dir, "research_info").where("paper_id is not null").select("paper_id", T.doi(F.col("doi")).alias("doi")).distinct()
     return quality.fill_unique(current_papers(spark, sf_dir).select("paper_id", "doi"), offers, "paper_id", "doi")
 
@@ -182,7 +182,7 @@ def dm_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """with top as (select max(paper_id) m from papers), w as (select id, row_number() over (order by id) n from works where paper_id is null) select id, m + n paper_id from w, top""",
 )
 def dm_new_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """DM13, DM14: new keys, without gaps, for works that have none.
+    """DM14: new keys, without gaps, for works that have none.
 
     Ranks are counted in ranges of ids and offset by the ranges before, so that no single task numbers all rows.
     """

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scholarlake.functions import text as T
 from scholarlake.operators.chunks import chunked_works, packed_sentences
-from scholarlake.operators.vectors import diversified, nearest
+from scholarlake.operators.vectors import diversified, laddered, nearest
 from scholarlake.plans.texts import _NORM
 from scholarlake.sources.tables import table
 
@@ -62,36 +62,70 @@ def tk_label_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("query", (-F.col("b.l")).alias("label"), F.col("b.n").alias("n"))
 
 
+_WANTED = "case when vec_id % 100 = 0 then label else label + 1000 end"
+
+
+@query(
+    "tk_ladder",
+    f"""with q as (select vec_id, embedding, {_WANTED} wanted from embeddings where vec_id % 50 = 0), s as (select q.vec_id query, c.vec_id key, c.label = q.wanted own, round(list_cosine_similarity(q.embedding::double[], c.embedding::double[]), 9) similarity from q, embeddings c where c.vec_id <> q.vec_id),
+    a as (select query, key, similarity, cast(row_number() over (partition by query order by similarity desc, key) as int) pos, 'filtered' stage from s where own qualify pos <= 30), b as (select query, key, similarity, cast(row_number() over (partition by query order by similarity desc, key) as int) pos, 'unfiltered' stage from s where query not in (select query from a) qualify pos <= 12)
+    select query, key, round(similarity, 6) similarity, pos, stage from a union all select query, key, round(similarity, 6), pos, stage from b""",
+)
+def tk_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TK3: thirty neighbours under a filter, and twelve without it where the filter leaves none, with the rung each came from; every other query asks for a label there is none of. The rungs a failing index needs have no counterpart."""
+    e = table(spark, sf_dir, "embeddings")
+    q = e.where("vec_id % 50 = 0").withColumn("label", F.expr(_WANTED))
+    return laddered(q, e, "vec_id", "embedding", "label", 30, 12).withColumn("similarity", F.round("similarity", 6))
+
+
 # ---- chunks
 
 
-@query("wn_pack_sentences")
+_PACKED = """p as (select id, ss, list_transform(ss, lambda x: cast(floor(len(list_filter(regexp_split_to_array(x, '[ \\t\\r\\n\\f\\x0B]+'), lambda w: w <> '')) * 1.3::double) as bigint)) ts from s where len(ss) > 0),
+ r(id, i, a, tok, k, done) as (select id, 1, 1, ts[1], 0, null::varchar from p union all
+  select r.id, i + 1, case when full_ then least(i + 1, b) else a end, case when full_ then list_sum(ts[b:i] || [0::bigint]) + ts[i + 1] else tok + ts[i + 1] end, k + case when full_ then 1 else 0 end, case when full_ then array_to_string(ss[a:i], ' ') end
+  from (select r.*, p.ss, p.ts, r.tok + p.ts[r.i + 1] > 512 full_, coalesce(list_min(list_filter(generate_series(r.a, r.i), lambda j: list_sum(ts[j:r.i]) <= 128)), r.i + 1) b from r join p using (id) where r.i < len(p.ss)) r),
+ made as (select id, k - 1 chunk, done text from r where done is not null union all select r.id, r.k, array_to_string(p.ss[r.a:], ' ') from r join p using (id) where r.i = len(p.ss))"""
+_SPLIT = lambda c: f"list_filter(string_split(regexp_replace(regexp_replace({c}, '^[ \\t\\r\\n\\f\\x0B]+|[ \\t\\r\\n\\f\\x0B]+$', '', 'g'), '([.!?])[ \\t\\r\\n]+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '')"
+
+
+@query("wn_pack_sentences", f"with recursive s as (select id, {_SPLIT('full_text')} ss from works where full_text is not null), {_PACKED} select id, cast(count(*) over (partition by id) as int) chunks_total, cast(chunk as int) chunk, text from made")
 def wn_pack_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WN5, WN6, TF2, C1: full texts packed into overlapping chunks."""
     w = table(spark, sf_dir, "works").where("full_text is not null").select("id", packed_sentences(F.col("full_text")).alias("c"))
     return w.select("id", F.size("c").alias("chunks_total"), F.posexplode("c").alias("chunk", "text"))
 
 
-@query(
-    "tf_first_chunks",
-    """with w as (select *, concat_ws(' ', case when trim(primary_researcher) <> '' then 'Research by ' || primary_researcher end, case when trim(topics[1].name) <> '' then 'in ' || topics[1].name end, case when publication_year is not null then '(' || publication_year || ')' end) p,
-      list_filter(list_transform(topics[:5], lambda t: t.name), lambda n: coalesce(n <> '', false)) tn, list_filter(list_transform(topics[:5], lambda t: t.field), lambda n: coalesce(n <> '', false)) tf from normalized_works),
+_FIRST = lambda works: f"""w as (select *, concat_ws(' ', case when trim(primary_researcher) <> '' then 'Research by ' || primary_researcher end, case when trim(topics[1].name) <> '' then 'in ' || topics[1].name end, case when publication_year is not null then '(' || publication_year || ')' end) p,
+      list_filter(list_transform(topics[:5], lambda t: t.name), lambda n: coalesce(n <> '', false)) tn, list_filter(list_transform(topics[:5], lambda t: t.field), lambda n: coalesce(n <> '', false)) tf from {works}),
     x as (select openalex_id, case when p <> '' then p || '. ' else '' end prefix, 'title_abstract' chunk_type, 0 chunk_index, case when trim(abstract) <> '' then title || chr(10) || chr(10) || abstract else title end text from w where trim(title) <> ''
       union all select openalex_id, case when p <> '' then p || '. ' else '' end, 'keywords', 1, concat_ws('. ', title, case when len(keywords) > 0 then 'Keywords: ' || array_to_string(keywords[:15], ', ') end, case when len(tn) > 0 then 'Research topics: ' || array_to_string(tn, ', ') end,
-        case when len(tf) > 0 then 'Fields: ' || array_to_string(list_filter(tf, lambda f, i: list_position(tf, f) = i), ', ') end) from w where len(keywords) > 0 or len(topics) > 0)
-    select openalex_id || '_' || chunk_type || '_' || chunk_index chunk_id, openalex_id work_id, chunk_type, chunk_index, text, prefix || text embed_text from x""",
-)
+        case when len(tf) > 0 then 'Fields: ' || array_to_string(list_filter(tf, lambda f, i: list_position(tf, f) = i), ', ') end) from w where len(keywords) > 0 or len(topics) > 0)"""
+_AS_CHUNKS = "select openalex_id || '_' || chunk_type || '_' || chunk_index chunk_id, openalex_id work_id, chunk_type, chunk_index, text, prefix || text embed_text from"
+
+
+@query("tf_first_chunks", f"with {_FIRST('normalized_works')} {_AS_CHUNKS} x")
 def tf_first_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TF1, FN40, FN41, FN99, PF27, PF4-PF6: the chunks of title, abstract, keywords and topics of each work."""
+    """TF1, FN40, FN41, PF5, PF6: the chunks of title, abstract, keywords and topics of each work."""
     w = table(spark, sf_dir, "normalized_works")
     none = spark.createDataFrame([], "work_id string, pos int, heading string, body string, element_type string")
     return chunked_works(w, none)
 
 
-@query("tf_section_chunks")
+_NEWEST = "nw as (select openalex_id, x.* from (select openalex_id, arg_max(struct_pack(title := title, abstract := abstract, primary_researcher := primary_researcher, topics := topics, publication_year := publication_year, keywords := keywords), coalesce(updated_date, '')) x from normalized_works group by openalex_id))"
+
+
+@query(
+    "tf_section_chunks",
+    f"""with recursive {_NEWEST}, {_FIRST('nw')}, b as (select openalex_id, unnest(ps) body, unnest(generate_series(0, len(ps) - 1)) pos from (select openalex_id, list_filter(regexp_split_to_array(abstract, '\\n[ \\t]*\\n'), lambda q: length(q) > 10) ps from nw where abstract is not null)),
+    s as (select openalex_id || '|' || pos id, {_SPLIT('body')} ss from b where length(regexp_replace(body, '^[ \\t\\r\\n\\f\\x0B]+|[ \\t\\r\\n\\f\\x0B]+$', '', 'g')) >= 30), {_PACKED},
+    n as (select split_part(id, '|', 1) openalex_id, text, row_number() over (partition by split_part(id, '|', 1) order by cast(split_part(id, '|', 2) as int), chunk) + 99 chunk_index from made),
+    y as (select * from x union all select n.openalex_id, case when w.p <> '' then w.p || '. ' else '' end, 'section', n.chunk_index, concat_ws(' — ', w.title, 'Full Text: ' || n.text) from n join w using (openalex_id)) {_AS_CHUNKS} y""",
+)
 def tf_section_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TF1, SC19, SC21-SC23: the same with the abstract's paragraphs as sections."""
-    w = table(spark, sf_dir, "normalized_works")
+    """TF1, SC19, SC21-SC23: the same of the latest copy of each work, with the abstract's paragraphs as sections."""
+    fields = ["title", "abstract", "primary_researcher", "topics", "publication_year", "keywords"]
+    w = table(spark, sf_dir, "normalized_works").groupBy("openalex_id").agg(F.max_by(F.struct(*fields), F.coalesce("updated_date", F.lit(""))).alias("x")).select("openalex_id", "x.*")
     paragraphs = F.filter(F.split("abstract", r"\n[ \t]*\n"), lambda p: F.length(p) > 10)
     sections = w.where("abstract is not null").select(F.col("openalex_id").alias("work_id"), F.posexplode(paragraphs).alias("pos", "body"))
     return chunked_works(w, sections.select("work_id", "pos", F.lit("Full Text").alias("heading"), "body", F.lit("section").alias("element_type")))
@@ -115,7 +149,7 @@ def asked_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("wn_first_seen", f"with {_RUN} select researcher, chunk_id, pos from run")
 def wn_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """WN1, WN3, WN13, ST1, TK7, SM2: chunks once each, ranked for each researcher asked about."""
+    """WN1, WN3, SM2: chunks once each, ranked for each researcher asked about."""
     return asked_run(spark, sf_dir).select("researcher", "chunk_id", "pos")
 
 
@@ -306,10 +340,10 @@ def gr_has_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"with {_WORK}, e as (select distinct a.id aid, openalex_id wid from (select openalex_id, unnest(x.a) a from w) where a.id <> '') select x.aid a1, y.aid a2, count(*) shared_works from e x join e y using (wid) where x.aid < y.aid group by all",
 )
 def gr_collaborations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JN12: pairs of authors and the works they share; pairs are made inside a work, whose author list is its bound, and counted map-side."""
+    """JN12: pairs of authors and the works they share; pairs stream out of a work's author list one by one and are counted map-side."""
     ids = current_works(spark, sf_dir).select(F.array_sort(F.array_distinct(F.filter(F.transform("a", lambda p: p["id"]), lambda i: i != ""))).alias("ids"))
-    pairs = F.flatten(F.transform("ids", lambda a: F.transform(F.filter("ids", lambda b: b > a), lambda b: F.struct(a.alias("a1"), b.alias("a2")))))
-    return ids.select(F.explode(pairs).alias("p")).groupBy("p.a1", "p.a2").agg(F.count("*").alias("shared_works"))
+    firsts = ids.select("ids", F.posexplode("ids").alias("i", "a1"))
+    return firsts.select("a1", F.explode(F.slice("ids", F.col("i") + 2, F.size("ids"))).alias("a2")).groupBy("a1", "a2").agg(F.count("*").alias("shared_works"))
 
 
 @query(
@@ -318,7 +352,7 @@ def gr_collaborations(spark: SparkSession, sf_dir: str) -> DataFrame:
     select 'Author', a.id, min(a.name), count(distinct openalex_id) from (select openalex_id, unnest(x.a) a from w) where a.id <> '' group by a.id union all select 'Topic', t.id, min(t.name), count(distinct openalex_id) from (select openalex_id, unnest(x.t) t from w) where t.id <> '' group by t.id""",
 )
 def gr_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """DM18-DM20, SC31-SC33: nodes of the graph, one a key, with their counts kept over all upserts."""
+    """DM18-DM20: nodes of the graph, one a key, with their counts kept over all upserts."""
     w = current_works(spark, sf_dir)
     works = w.select(F.lit("Work").alias("label"), F.col("openalex_id").alias("oid"), F.col("title").alias("name"), F.coalesce("c", F.lit(0)).cast("long").alias("weight"))
     from_list = lambda c, label: w.select("openalex_id", F.explode(c).alias("p")).where("p.id <> ''").groupBy(F.col("p.id").alias("oid")).agg(F.min("p.name").alias("name"), F.count_distinct("openalex_id").alias("weight")).select(F.lit(label).alias("label"), "oid", "name", "weight")

@@ -156,7 +156,7 @@ def fn_arxiv_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     select id, coalesce(try_cast(nullif(ctx, '') as int), top) pub_year, lower(regexp_replace(regexp_extract(slab, '(10\\.[0-9]{4,9}/[^ \\t\\r\\n"''<>]+)', 1), '[.,;:\\])}]+$', '')) doi_found from y""",
 )
 def fn_fulltext_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FN49, FN51, FN55: publication year and DOI read from full texts."""
+    """FN51: publication year and DOI read from full texts."""
     w = table(spark, sf_dir, "works").where("full_text is not null").select("id", F.col("full_text").alias("t"))
     head, slab = F.substring("t", 1, 20_000), F.substring("t", 1, 40_000)
     context = F.regexp_extract(head, r"(?is)\b(?:published|accepted|received|copyright)\b.{0,60}?\b((?:19|20)[0-9]{2})\b", 1)
@@ -171,7 +171,7 @@ def fn_fulltext_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     select id, trim(ls[1]) first_line, trim(regexp_extract(array_to_string(ls[:20], chr(10)), '(?i)(?:^|\\n)Author\\(?s?\\)?:[ \\t]*([^\\n]*)', 1)) authors_line from l where len(ls) > 0""",
 )
 def fn_header_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FN43, FN52, FN54: first line and author line of full texts."""
+    """FN43 in part: first line and author line of full texts."""
     lines = F.filter(F.split("full_text", "\n"), lambda x: F.trim(x) != "")
     w = table(spark, sf_dir, "works").where("full_text is not null").select("id", lines.alias("ls")).where("size(ls) > 0")
     top = F.array_join(F.slice("ls", 1, 20), "\n")
@@ -217,7 +217,7 @@ def fn_short_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
       concat(upper(coalesce(nullif(regexp_extract(subject, '([A-Za-z0-9]+)', 1), ''), 'Unknown')[1:1]), coalesce(nullif(regexp_extract(subject, '([A-Za-z0-9]+)', 1), ''), 'Unknown')[2:]) subject_word from research_info where topics_json is not null""",
 )
 def fn_topics_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FN62-FN66: topics unpacked from JSON; unreadable JSON gives none."""
+    """FN64, FN66: topics unpacked from JSON; unreadable JSON gives none."""
     parsed = F.from_json("topics_json", "array<struct<topic:string,score:double>>")
     word = F.coalesce(F.nullif(F.regexp_extract("subject", "([A-Za-z0-9]+)", 1), F.lit("")), F.lit("Unknown"))
     r = table(spark, sf_dir, "research_info").where("topics_json is not null").select("id", parsed.alias("p"), F.concat(F.upper(F.substring(word, 1, 1)), F.substring(word, 2, 1000)).alias("subject_word"))
@@ -260,6 +260,6 @@ def fn_tagger_input(spark: SparkSession, sf_dir: str) -> DataFrame:
       regexp_matches(q, '{T.PRONOUNS}') or regexp_matches(q, '{T.GOING_ON}') follow_up, regexp_matches(q, '{T.SUMMARY_QUESTION}') summary from q""",
 )
 def fn_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PF31-PF37: how the questions of the corpus are to be answered."""
+    """PF31, PF33, PF35, PF37: how the questions of the corpus are to be answered."""
     q = F.col("question")
     return _questions(spark, sf_dir).select("doc_id", T.intent(q).alias("intent"), T.meta_query(q).alias("meta"), T.follow_up(q).alias("follow_up"), T.summary_intent(q).alias("summary"))

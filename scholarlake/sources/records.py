@@ -27,8 +27,12 @@ RAW_AUTHOR = (
 
 def read_records(spark: SparkSession, path: str, schema: str = RAW_WORK) -> tuple[DataFrame, DataFrame]:
     """(records, corrupt lines) of JSON-lines files; a line that can't be read doesn't fail the rest."""
-    lines = spark.read.text(path).where("trim(value) <> ''")
-    rows = lines.select(F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("r")).select("r.*")
+    return parsed_records(spark.read.text(path), schema)
+
+
+def parsed_records(lines: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
+    """The same of lines at hand (value); blank ones are none."""
+    rows = lines.where("trim(value) <> ''").select(F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("r")).select("r.*")
     return rows.where("_corrupt_record is null").drop("_corrupt_record"), rows.select("_corrupt_record").where("_corrupt_record is not null")
 
 
