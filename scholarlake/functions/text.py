@@ -153,15 +153,6 @@ def placeholder(c: Column) -> Column:
     return (compact == "") | compact.isin(PLACEHOLDERS)
 
 
-def dummy_title(c: Column) -> Column:
-    """Blank, too long, of under four words, mostly digits, or a heading rather than a title."""
-    t = F.coalesce(strip(c), F.lit(""))
-    return (
-        (t == "") | (F.length(t) > 240) | t.rlike("(?i)^(untitled|unknown|no title|title missing|draft|scan|document)") | t.rlike("(?i)^(abstract|introduction|contents|table of contents|references)")
-        | (F.size(F.filter(F.split(t, SPACE), lambda w: w != "")) < 4) | (F.length(F.regexp_replace(t, "[^0-9]", "")) > 12)
-    )
-
-
 def split_authors(c: Column) -> Column:
     """On ; , and the word and; parts of under two characters are left out."""
     parts = F.transform(F.split(c, r"[ \t]*[;,][ \t]*|[ \t]+and[ \t]+"), collapse)

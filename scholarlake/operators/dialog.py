@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterable
 
@@ -9,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+# What sessions keep, and from when an anchor is stable, replaced or cleared.
 KEEP_TURNS = 24
 MOST_CHARS, TARGET_CHARS = 32_000, 24_000
 MEMORY_MOST, MEMORY_KEPT = 500, 420
@@ -61,10 +63,21 @@ def next_anchor(anchor: dict | None, seen: dict, stable: float = 0.72) -> tuple[
     return anchor, "kept_ambiguous_switch_requires_confirmation"
 
 
+def named_in(value: str | None, text: str | None) -> bool:
+    """Whether a text holds a value, or all of its words of three letters or more where there are two at least."""
+    a, t = (re.sub(r"\s+", " ", (x or "").strip().lower()) for x in (value, text))
+    if not a or not t:
+        return False
+    words = [w for w in re.findall(r"[a-z0-9]+(?:['.-][a-z0-9]+)?", a) if len(w) >= 3]
+    return a in t or len(words) >= 2 and set(words) <= set(re.findall(r"[a-z0-9]+(?:['.-][a-z0-9]+)?", t))
+
+
 def anchor_path(rows: Iterable[dict]) -> list[tuple[str | None, float, str]]:
-    """next_anchor() folded over the questions of one session in their order."""
+    """next_anchor() folded over the questions of one session in their order; what a row doesn't say of its question is read from it."""
     anchor, out = None, []
     for r in rows:
+        if "question" in r:
+            r = {**r, "overlap": bool(anchor) and named_in(anchor["value"], r["question"]), "names_candidate": named_in(r["value"], r["question"])}
         anchor, label = next_anchor(anchor, r)
         out.append((anchor["value"] if anchor else None, anchor["confidence"] if anchor else 0.0, label))
     return out

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from scholarlake.functions import text as T
 from scholarlake.operators import dialog
 from scholarlake.operators.vectors import nearest
-from scholarlake.plans.retrieval import _RUN, ag_dominant_value, ag_researcher_evidence, ag_support_confidence
+from scholarlake.plans.retrieval import _RUN, ag_researcher_evidence, ag_support_confidence, asked_run
 from scholarlake.plans.texts import _NORM
 from scholarlake.sources import seams
 from scholarlake.sources.tables import table
@@ -72,7 +72,7 @@ def wn_recent_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     "with m as (select user_id session, event_id id from events), n as (select session, count(*) n from m group by session), r as (select *, row_number() over (partition by session order by id desc) r from m) select session, id from r join n using (session) where n <= 500 or r <= 420",
 )
 def wn_memory_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """WN12, SM5, SM15, PF18: memories kept of each session."""
+    """WN12: memories kept of each session."""
     return dialog.pruned_memory(table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.col("event_id").alias("id")))
 
 
@@ -95,7 +95,7 @@ _ANSWERS = "a as (select doc_id, text from documents where doc_kind = 'answer' a
     select doc_id, trim(b) body, cast(len(list_filter(regexp_split_to_array(b, '[ \\t\\r\\n\\f\\x0B]+'), lambda w: w <> '')) as int) n_words, cast(len(regexp_extract_all(text, '\\[[0-9]+\\]')) as int) n_sources from s join a using (doc_id)""",
 )
 def fn_clean_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FN22, FN83, FN87, FN91-FN93, FN102, QO17: answers without leading labels and source lists, with counts of words and sources."""
+    """FN83, FN102: answers without leading labels and source lists, with counts of words and sources."""
     a = table(spark, sf_dir, "documents").where("doc_kind = 'answer' and text is not null").select("doc_id", "text")
     body = F.regexp_replace(F.regexp_replace("text", r"(?s)\n\nSources:.*$", ""), r"^(?:Based on the papers: |\*\*Short answer\.\*\* |[0-9]+\. |- )", "")
     n_words = F.size(F.filter(F.split(body, r"[ \t\r\n\f\x0B]+"), lambda w: w != ""))
@@ -128,25 +128,49 @@ def sm_latest_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What was asked, by conversation: a source's turns of one day, so that no fold runs over all turns of a large source."""
-    d = table(spark, sf_dir, "documents").where("source is not null and doc_kind = 'qa_pair' and text is not null")
+    d = table(spark, sf_dir, "documents").where("source is not null and ingested_at is not null and doc_kind = 'qa_pair' and text is not null")
     return d.select(F.concat_ws("|", "source", F.date_format("ingested_at", "yyyy-MM-dd")).alias("session"), F.col("doc_id").alias("turn"), "text")
 
 
-@query("sm_anchor_states")
+_CONV = "cv as (select source || '|' || strftime(ingested_at, '%Y-%m-%d') session, doc_id turn, regexp_extract(text, '^Q: ([^\\n]*)', 1) q, text from documents where source is not null and ingested_at is not null and doc_kind = 'qa_pair' and text is not null), o as (select *, cast(row_number() over (partition by session order by turn) as int) i from cv)"
+_HELD = lambda a: f"(contains({_NORM('q')}, {_NORM(a)}) and {_NORM(a)} <> '')"
+
+
+@query(
+    "sm_anchor_states",
+    f"""with recursive {_RUN}, {_CONV}, n as (select researcher, count(*) n from run group by researcher),
+    x as (select o.*, case when n >= 3 then researcher end v, case when n >= 4 then 0.98 when n = 3 then 0.85 else 0 end::double c, regexp_matches(lower(q), '{T.PRONOUNS}') or regexp_matches(lower(q), '{T.GOING_ON}') fu from o left join n on researcher = regexp_extract(o.text, '^Q: What does (.*) study in', 1)),
+    r(session, turn, i, anchor, confidence, action) as (select session, turn, i, case when v is not null and {_HELD('v')} then v end, case when v is not null and {_HELD('v')} then c else 0::double end, case when v is null then 'none' when {_HELD('v')} then 'set_from_dominance' else 'blocked_no_query_overlap' end from x where i = 1
+     union all select x.session, x.turn, x.i,
+      case when v is null then case when anchor is not null and ({_HELD('anchor')} or fu) then anchor end when anchor is null then case when {_HELD('v')} then v end when anchor = v then anchor when not {_HELD('v')} then anchor when c >= 0.82 then v else anchor end,
+      case when v is null then case when anchor is not null and ({_HELD('anchor')} or fu) then confidence else 0 end when anchor is null then case when {_HELD('v')} then c else 0 end when anchor = v then greatest(confidence, c) when not {_HELD('v')} then confidence when c >= 0.82 then c else confidence end,
+      case when v is null then case when anchor is null then 'none' when {_HELD('anchor')} then 'kept_no_dominance' when fu then 'kept_followup_coref' else 'cleared_no_query_overlap' end when anchor is null then case when {_HELD('v')} then 'set_from_dominance' else 'blocked_no_query_overlap' end when anchor = v then 'kept_reinforced'
+       when not {_HELD('v')} then 'kept_candidate_no_query_overlap' when c >= 0.82 then 'replaced_with_strong_evidence' else 'kept_ambiguous_switch_requires_confirmation' end from r join x on r.session = x.session and x.i = r.i + 1)
+    select session, turn, anchor, confidence, action from r""",
+)
 def sm_anchor_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SM11, SM13, SM14, C8: how the anchor of each session moves with its questions."""
-    q = conversations(spark, sf_dir).select("session", "turn", F.regexp_extract("text", "^Q: What does (.*) study in", 1).alias("researcher"))
-    d = ag_dominant_value(spark, sf_dir).where("k = 'topic'").select("researcher", F.col("v").alias("value"), "confidence", "ratio")
-    seen = q.join(d, "researcher", "left").select(
-        "session", "turn", "value", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("ratio", F.lit(0.0)).alias("ratio"), F.lit(False).alias("overlap"),
-        F.col("value").isNotNull().alias("names_candidate"), (F.col("turn") % 3 == 0).alias("follow_up"), (F.col("researcher") != "").alias("entity"),
+    """SM11, SM13, C8: how the anchor of each conversation moves with its questions; the candidate is the researcher whom the evidence bears out, overlap and going on are read from the question."""
+    named = F.regexp_extract("text", "^Q: What does (.*) study in", 1)
+    q = conversations(spark, sf_dir).select("session", "turn", F.regexp_extract("text", r"^Q: ([^\n]*)", 1).alias("question"), named.alias("researcher"))
+    n = asked_run(spark, sf_dir).groupBy("researcher").agg(F.count("*").alias("n"))
+    sure = F.when(F.col("n") >= 4, 0.98).when(F.col("n") == 3, 0.85).otherwise(0.0)
+    seen = q.join(n, "researcher", "left").select(
+        "session", "turn", "question", F.when(F.col("n") >= 3, F.col("researcher")).alias("value"), sure.alias("confidence"), F.when(F.col("n") >= 3, 1.0).otherwise(0.0).alias("ratio"),
+        T.follow_up(F.col("question")).alias("follow_up"), (F.col("researcher") != "").alias("entity"),
     )
     return dialog.anchor_states(seen)
 
 
-@query("sm_rolling_summary")
+@query(
+    "sm_rolling_summary",
+    f"""with recursive {_CONV}, w as (select session, i, unnest(regexp_extract_all({_NORM("regexp_extract(text, 'A: (.*)', 1)")}, '([a-z0-9]+(?:[''.-][a-z0-9]+)?)', 1)) word from o), v as (select session, i, word, count(*) n from w group by all having count(*) >= 2), g as (select session, i, list(word order by n desc, word) strong from v group by all),
+    x as (select o.session, o.i, o.q, coalesce(strong, []) strong, count(*) over (partition by o.session) turns from o left join g using (session, i)),
+    r(session, i, turns, focus, themes, questions) as (select session, i, turns, q[:220], strong[-6:], case when q <> '' then [q] else [] end from x where i = 1
+     union all select x.session, x.i, x.turns, x.q[:220], (list_filter(themes, lambda t: not list_contains(strong, t)) || strong)[-6:], (list_filter(questions, lambda t: t <> x.q) || case when x.q <> '' then [x.q] else [] end)[-6:] from r join x on r.session = x.session and x.i = r.i + 1)
+    select session, turns, focus, themes, questions from r where i = turns""",
+)
 def sm_rolling_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SM8, SM9, and C10 without the voted people: the summary each session ends with."""
+    """SM8, SM9, and C10 without the voted people: the summary each conversation ends with."""
     q = conversations(spark, sf_dir).select("session", "turn", F.regexp_extract("text", r"^Q: ([^\n]*)", 1).alias("question"), T.words(F.regexp_extract("text", r"A: (.*)", 1)).alias("evidence"))
     return dialog.rolling_summaries(q)
 

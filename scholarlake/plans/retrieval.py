@@ -198,7 +198,7 @@ def ag_dominant_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     select researcher, docs, round(hits / docs, 6) support, case when docs <= 3 then 'weak' when hits / docs < 0.45 then 'inconsistent' when docs >= 8 then 'high' when docs >= 4 then 'medium' else 'low' end label, topics > 3 and topics * 2 > docs diverse from s""",
 )
 def ag_support_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AG15, AG23, FN17-FN20, C8: how far the chunks bear out their topic, and the label of confidence that follows."""
+    """AG15, AG23, FN19, C8: how far the chunks bear out their topic, and the label of confidence that follows."""
     hit = F.contains(T.norm(F.col("text")), T.norm(F.col("topic"))) & (F.coalesce("topic", F.lit("")) != "")
     s = asked_run(spark, sf_dir).groupBy("researcher").agg(F.count("*").alias("docs"), F.count_if(hit).alias("hits"), F.count_distinct("topic").alias("topics"))
     support = F.col("hits") / F.col("docs")
@@ -298,7 +298,7 @@ def tk_hybrid_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     select name, researcher, case when k.f = r.f then 3 when k.f[1:1] = r.f[1:1] then 2 else 1 end strength from k join r using (l)""",
 )
 def fn_person_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JN20, FN29-FN31, C5, WN14: how strongly each author's name matches each researcher's; surnames are equi-joined, not all pairs compared."""
+    """FN29, FN30: how strongly each author's name matches each researcher's; surnames are equi-joined, not all pairs compared."""
     part = lambda df, c: df.select(F.col(c), F.lower(F.element_at(F.split(c, " "), 1)).alias(f"f_{c}"), F.lower(F.element_at(F.split(c, " "), -1)).alias("l"))
     r = part(table(spark, sf_dir, "chunks").where("trim(researcher) <> ''").select("researcher").distinct(), "researcher")
     k = part(table(spark, sf_dir, "normalized_works").select(F.explode("all_authors.name").alias("name")).where("trim(name) <> ''").distinct(), "name")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scholarlake.functions import parse as P
 from scholarlake.functions import text as T
 from scholarlake.sources.tables import table
 
@@ -184,12 +185,12 @@ _PLACE = ", ".join(f"'{w}'" for w in T.PLACEHOLDERS)
 @query(
     "fn_title_checks",
     f"""with t as (select id, work_title, coalesce({_STRIP('work_title')}, '') s, regexp_replace(lower(coalesce(work_title, '')), '[^a-z0-9]+', '', 'g') c from research_info)
-    select id, s = '' or length(s) > 240 or regexp_matches(s, '(?i)^(untitled|unknown|no title|title missing|draft|scan|document)') or regexp_matches(s, '(?i)^(abstract|introduction|contents|table of contents|references)')
+    select id, s = '' or length(s) > 240 or regexp_matches(s, '{P.DUMMY_PREFIX}') or regexp_matches(s, '{P.BAD_TITLE}')
       or len(list_filter(regexp_split_to_array(s, '{_SP}'), lambda x: x <> '')) < 4 or length(regexp_replace(s, '[^0-9]', '', 'g')) > 12 dummy, c = '' or c in ({_PLACE}) placeholder from t""",
 )
 def fn_title_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PF20, PF21, PF23: titles that are none, and values that stand for a missing one."""
-    return table(spark, sf_dir, "research_info").select("id", T.dummy_title(F.col("work_title")).alias("dummy"), T.placeholder(F.col("work_title")).alias("placeholder"))
+    return table(spark, sf_dir, "research_info").select("id", P.dummy_title(F.col("work_title")).alias("dummy"), T.placeholder(F.col("work_title")).alias("placeholder"))
 
 
 @query(
