@@ -171,6 +171,18 @@ def pair_counts(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(F.col(text).alias("text")).where(F.col("text").rlike("[^\\x00-\\x7f]")).mapInPandas(_count, "a string, b string, instead string, n long").groupBy("a", "b", "instead").agg(F.sum("n").alias("n"))
 
 
+class _Remembered(dict):
+    """A function of pairs whose values are kept."""
+
+    def __init__(self, of) -> None:
+        super().__init__()
+        self.of = of
+
+    def __missing__(self, pair: tuple[str, str]):
+        value = self[pair] = self.of(*pair)
+        return value
+
+
 class PairModel:
     """log P(b | a) of adjacent characters, and their mutual information, from pair_counts()."""
 
@@ -190,6 +202,7 @@ class PairModel:
         self.total = max(1, sum(self.n.values()))
         self.kinds = max(1, len(self.right))
         self.arrays()
+        self.log, self.odd = _Remembered(self.log_p), _Remembered(self.improbable)  # as many as there are pairs of characters
 
     def log_p(self, a: str, b: str) -> float:
         if a < "\x80" and b < "\x80":
@@ -206,11 +219,11 @@ class PairModel:
 
     def score(self, text: str) -> float:
         """Sum of log P over the pairs of `text` that hold a character beyond ASCII."""
-        return sum(n * self.log_p(a, b) for (a, b), n in _pair_counts(text).items())
+        return self.sum_of(_pair_counts(text))
 
-    def mean(self, text: str) -> float:
-        pairs = _pair_counts(text)
-        return sum(n * self.log_p(a, b) for (a, b), n in pairs.items()) / max(1, sum(pairs.values()))
+    def sum_of(self, pairs: Counter) -> float:
+        logs = self.log
+        return sum([n * logs[p] for p, n in pairs.items()])
 
     def improbable(self, a: str, b: str) -> bool:
         n = self.n.get((a, b), 0)
@@ -273,7 +286,7 @@ class PairModel:
         the whole, or its characters would be far more common ones by some inverse mapping."""
         if not pairs:
             return []
-        if sum(n * self.log_p(a, b) for (a, b), n in pairs.items()) < DULL * sum(pairs.values()):
+        if self.sum_of(pairs) < DULL * sum(pairs.values()):
             return [(0, len(text))]
         chars = Counter(c for c in text if "\x80" <= c < _WIDE)
         return [(0, len(text))] if chars and self.moved(chars)[1].max() > max(2.0, 0.7 * sum(chars.values())) else []
@@ -370,7 +383,8 @@ def restore(text: str | None, model: PairModel) -> tuple[bool, str | None]:
     now, found = text, False
     while True:
         pairs = _pair_counts(now)
-        runs = model.runs(now) if any(model.improbable(*p) for p in pairs) else []
+        odd = model.odd
+        runs = model.runs(now) if any([odd[p] for p in pairs]) else []
         if not runs and not (runs := model.dull_runs(now, pairs)):
             break
         runs = _widened(now, runs)
