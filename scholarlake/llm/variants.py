@@ -145,10 +145,10 @@ def take_apart(spellings: DataFrame, givens: set[str], nicks: dict[str, list[str
 
 
 def compared(parts: DataFrame, givens: set[str], nicks: dict[str, list[str]]) -> DataFrame:
-    """(a, b, level, exact): pairs of a block that don't conflict, each once."""
+    """(a, b, level, exact, weak_a, weak_b): pairs of a block that don't conflict, each once."""
     shared = parts.sparkSession.sparkContext.broadcast((givens, nicks))
-    keyed = parts.select(F.explode("keys").alias("key"), "name", "kind", "surname", "given", "number", "keys")
-    left, right = (keyed.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("name", "kind", "surname", "given", "number", "keys"))) for x in "ab")
+    keyed = parts.select(F.explode("keys").alias("key"), "name", "kind", "surname", "given", "number", "keys", "weak")
+    left, right = (keyed.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("name", "kind", "surname", "given", "number", "keys", "weak"))) for x in "ab")
     beside = right.where("kind_b = 'p'").join(close_surnames(parts.where("kind = 'p'").select("surname")), "surname_b")
     people = left.where("kind_a = 'p'").join(beside, ["surname_a", "key"])
     bodies = left.where("kind_a = 'o'").join(right.where("kind_b = 'o'"), "key")
@@ -159,45 +159,47 @@ def compared(parts: DataFrame, givens: set[str], nicks: dict[str, list[str]]) ->
         memo: dict[str, bool] = {}
         for pdf in batches:
             out = []
-            for na, nb, kind, sa, sb, ga, gb, xa, xb in zip(*(pdf[c] for c in ("name_a", "name_b", "kind_a", "surname_a", "surname_b", "given_a", "given_b", "number_a", "number_b"))):
+            for na, nb, kind, sa, sb, ga, gb, xa, xb, wa, wb in zip(*(pdf[c] for c in cols)):
                 a, b = {"surname": sa, "given": list(ga), "number": xa}, {"surname": sb, "given": list(gb), "number": xb}
                 level = compare_organisations(a, b) if kind == "o" else compare_people(a, b, known, short, memo)
                 if level != NONE:
-                    out.append((na, nb, level, sa == sb))
-            yield pd.DataFrame(out, columns=["a", "b", "level", "exact"])
+                    out.append((na, nb, level, sa == sb, wa, wb))
+            yield pd.DataFrame(out, columns=["a", "b", "level", "exact", "weak_a", "weak_b"])
 
-    cols = ["name_a", "name_b", "kind_a", "surname_a", "surname_b", "given_a", "given_b", "number_a", "number_b"]
-    return pairs.select(*cols).mapInPandas(run, "a string, b string, level int, exact boolean")
+    cols = ["name_a", "name_b", "kind_a", "surname_a", "surname_b", "given_a", "given_b", "number_a", "number_b", "weak_a", "weak_b"]
+    return pairs.select(*cols).mapInPandas(run, "a string, b string, level int, exact boolean, weak_a int, weak_b int")
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(name, label): the least name of the component of each node; edges are (a, b). Labels spread until none changes; each round is cut."""
+    """(name, label) and the other columns of `nodes`: the least name of the component of each node; edges are (a, b).
+
+    Labels spread, and then point where the label's own label points, until none changes; each round is cut.
+    """
     both = cut(edges.select("a", "b").union(edges.select("b", "a")))
     labels = cut(nodes.select("name", F.col("name").alias("label")))
     while True:
         seen = both.join(labels, both["a"] == labels["name"]).groupBy("b").agg(F.min("label").alias("seen"))
-        step = labels.join(seen, labels["name"] == seen["b"], "left").select("name", F.least("label", F.coalesce("seen", "label")).alias("label"))
-        jump = step.alias("s").join(labels.select(F.col("name").alias("via"), F.col("label").alias("up")), F.col("label") == F.col("via"), "left").select("name", F.least("label", "up").alias("label"), F.col("label").alias("was"))
-        new = cut(jump.select("name", "label"))
-        changed = new.alias("x").join(labels.alias("y"), "name").where(F.col("x.label") != F.col("y.label")).limit(1).count()
-        labels = new
-        if not changed:
+        step = labels.join(seen, labels["name"] == seen["b"], "left").select("name", F.col("label").alias("was"), F.least("label", F.coalesce("seen", "label")).alias("label"))
+        up = labels.select(F.col("name").alias("via"), F.col("label").alias("up"))
+        new = cut(step.join(up, F.col("label") == F.col("via"), "left").select("name", "was", F.least("label", "up").alias("label")))
+        labels = new.select("name", "label")
+        if new.where("was <> label").isEmpty():
             return labels
 
 
-def _attach(labels: DataFrame, parts: DataFrame, edges: DataFrame, weak: int) -> DataFrame:
+def _attach(labels: DataFrame, edges: DataFrame, weak: int) -> DataFrame:
     """Components whose strongest spelling is of this weakness join the only stronger component they fit, exact surnames first."""
-    ranks = parts.select("name", "weak")
-    strength = labels.join(ranks, "name").groupBy("label").agg(F.min("weak").alias("rank"))
-    at = labels.join(strength, "label").select("name", "label", "rank")
-    both = edges.select("a", "b", "exact").union(edges.select("b", "a", "exact")).join(ranks.where(F.col("weak") == weak).select(F.col("name").alias("a")), "a")
+    strength = labels.groupBy("label").agg(F.min("weak").alias("rank"))
+    at = labels.select("name", "label").join(strength, "label")
+    sides = [edges.select(F.col(x).alias("a"), F.col(y).alias("b"), "exact", F.col(f"weak_{x}").alias("weak")) for x, y in ("ab", "ba")]
+    both = sides[0].union(sides[1]).where(F.col("weak") == weak).drop("weak")
     fits = (
-        both.join(at.select(F.col("name").alias("a"), F.col("label").alias("weaker"), F.col("rank").alias("ra")), "a").where(F.col("ra") == weak)
-        .join(at.select(F.col("name").alias("b"), F.col("label").alias("stronger"), F.col("rank").alias("rb")), "b").where((F.col("rb") < F.col("ra")) & (F.col("weaker") != F.col("stronger")))
+        both.join(at.where(F.col("rank") == weak).select(F.col("name").alias("a"), F.col("label").alias("weaker")), "a")
+        .join(at.where(F.col("rank") < weak).select(F.col("name").alias("b"), F.col("label").alias("stronger")), "b")
         .groupBy("weaker", "exact").agg(F.min("stronger").alias("lo"), F.max("stronger").alias("hi"))
     )
     best = fits.groupBy("weaker").agg(F.max_by(F.struct("lo", "hi"), "exact").alias("f")).where("f.lo = f.hi").select("weaker", F.col("f.lo").alias("to"))
-    return cut(labels.join(best, labels["label"] == best["weaker"], "left").select("name", F.coalesce("to", "label").alias("label")))
+    return cut(labels.join(best, labels["label"] == best["weaker"], "left").select("name", "weak", F.coalesce("to", "label").alias("label")))
 
 
 def linked_spellings(spellings: DataFrame) -> DataFrame:
@@ -209,10 +211,11 @@ def linked_spellings(spellings: DataFrame) -> DataFrame:
     givens, nicks, tails = lexicons(parts)
     parts = cut(take_apart(parts, givens, nicks, tails))
     edges = cut(compared(parts, givens, nicks))
-    labels = components(parts, edges.where(F.col("level") == SAME))
+    labels = components(parts, edges.where(F.col("level") == SAME)).join(parts.select("name", "weak"), "name")
+    part = cut(edges.where(F.col("level") == PART))
     for weak in (1, 2, 3):
-        labels = _attach(labels, parts, edges.where(F.col("level") == PART), weak)
-    return labels
+        labels = _attach(labels, part, weak)
+    return labels.select("name", "label")
 
 
 def variant_pairs(labels: DataFrame) -> DataFrame:
