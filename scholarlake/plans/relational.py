@@ -177,6 +177,9 @@ def dm_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "works").select("id", *(F.when(due, v).otherwise(F.col(c)).alias(c) for c, v in new.items()))
 
 
+KEY_RANGES = 4_096
+
+
 @query(
     "dm_new_keys",
     """with top as (select max(paper_id) m from papers), w as (select id, row_number() over (order by id) n from works where paper_id is null) select id, m + n paper_id from w, top""",
@@ -184,9 +187,13 @@ def dm_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dm_new_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DM14: new keys, without gaps, for works that have none.
 
-    Ranks are counted in ranges of ids and offset by the ranges before, so that no single task numbers all rows.
+    Ranks are counted in at most KEY_RANGES ranges of ids and offset by the ranges before, so that no single task numbers all rows
+    and what is added up in one task doesn't grow.
     """
-    w = table(spark, sf_dir, "works").where("paper_id is null").select("id", F.floor(F.col("id") / 100_000).alias("g"))
+    w = table(spark, sf_dir, "works").where("paper_id is null")
+    ends = w.agg(F.min("id").alias("lo"), F.max("id").alias("hi")).first()
+    lo, width = ends["lo"] or 0, ((ends["hi"] or 0) - (ends["lo"] or 0)) // KEY_RANGES + 1
+    w = w.select("id", F.floor((F.col("id") - lo) / width).alias("g"))
     sizes = w.groupBy("g").count().withColumn("offset", F.sum("count").over(Window.orderBy("g").rowsBetween(Window.unboundedPreceding, -1)))
     top = table(spark, sf_dir, "papers").agg(F.max("paper_id").alias("m"))
     numbered = w.withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy("id"))).join(sizes.select("g", F.coalesce("offset", F.lit(0)).alias("offset")), "g")
