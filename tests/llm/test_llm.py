@@ -135,8 +135,8 @@ def test_rare_words_of_a_large_corpus(spark, monkeypatch):
 
 def test_hyphen_kept():
     d = scans.Decoder({"cross-sectional": 9, "monitoring": 9, "cross": 9, "sectional": 9}, 100)
-    assert d.joined("cross", "sectional", True)[0] == "cross-sectional"
-    assert d.joined("moni", "toring", True)[0] == "monitoring"
+    assert d.joined("cross", "sectional")[0] == "cross-sectional"
+    assert d.joined("moni", "toring")[0] == "monitoring"
 
 
 # ---- p5
