@@ -56,6 +56,7 @@ def _class(chars: list[str]) -> str:
 class _Utf8Inverse:
     def __init__(self, codec: str) -> None:
         self.table = _bytes_of(codec)
+        self.known: dict[str, str] = {}
         at = lambda lo, hi: _class([c for c, b in self.table.items() if lo <= b <= hi])
         if self.table.get("\xa0") == 0xA0:  # white space is often made plain after the misreading
             self.table[" "] = 0xA0
@@ -63,10 +64,14 @@ class _Utf8Inverse:
         self.pattern = re.compile(f"{at(0xC2, 0xDF)}{cont}|{at(0xE0, 0xEF)}{cont}{{2}}|{at(0xF0, 0xF4)}{cont}{{3}}")
 
     def decoded(self, m: re.Match) -> str:
-        try:
-            return bytes(self.table[c] for c in m[0]).decode("utf-8")
-        except UnicodeDecodeError:
-            return m[0]
+        seen = m[0]
+        if (c := self.known.get(seen)) is None:
+            try:
+                c = bytes(self.table[x] for x in seen).decode("utf-8")
+            except UnicodeDecodeError:
+                c = seen
+            self.known[seen] = c  # as many as there are characters
+        return c
 
     def __call__(self, text: str) -> str:
         return self.pattern.sub(self.decoded, text)
@@ -388,7 +393,8 @@ def restore(text: str | None, model: PairModel) -> tuple[bool, str | None]:
         if not runs and not (runs := model.dull_runs(now, pairs)):
             break
         runs = _widened(now, runs)
-        score = lambda inverse, runs=runs, now=now: sum(model.score(now[max(0, b - 1) : b] + inverse(now[b:e]) + now[e : e + 1]) for b, e in runs)
+        # what stands between the runs' ends is the same for all mappings, so that only differences of these scores say something
+        score = lambda inverse, runs=runs, now=now: model.score("\0".join([now[max(0, b - 1) : b] + inverse(now[b:e]) + now[e : e + 1] for b, e in runs]))
         best = _single(now, runs, pairs, model) if not found else None
         if best is not None:  # on the scale of the scores below
             best = max(MIN_GAIN, model.score(best[1]) - model.score(now)), best[1]
