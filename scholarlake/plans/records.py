@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,9 +34,21 @@ def query(name: str, sql: str | None = None):
 # ---- records as delivered: the tables written out as JSON lines, with lines that can't be read among them, and read again
 
 
+@F.pandas_udf("map<string,array<int>>")
+def _inverted(texts: pd.Series) -> pd.Series:
+    """Word -> places: how texts are delivered."""
+    out = []
+    for t in texts:
+        places: dict[str, list[int]] = {}
+        for i, w in enumerate(re.split(" +", (t or "").strip(" "))):
+            places.setdefault(w, []).append(i)
+        out.append(places)
+    return pd.Series(out, index=texts.index, dtype=object)
+
+
 def _raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = table(spark, sf_dir, "normalized_works")
-    index = F.map_from_entries(F.transform(F.array_distinct(F.split(F.trim("abstract"), " +")), lambda x: F.struct(x, F.filter(F.transform(F.split(F.trim("abstract"), " +"), lambda y, i: F.when(y == x, i)), lambda i: i.isNotNull()))))
+    index = _inverted("abstract")
     person = lambda a: F.struct(
         a["position"].alias("author_position"), a["is_corresponding"].alias("is_corresponding"), F.struct(F.concat(F.lit("https://x.org/"), a["id"]).alias("id"), a["name"].alias("display_name")).alias("author"),
         F.when(a["is_su"], F.array(F.struct(F.lit("https://x.org/I7").alias("id")))).alias("institutions"),
@@ -389,3 +404,34 @@ def fn_question_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PF32, PF33, PF34: whether a question is a command, asks for a summary, or leaves whoever was spoken of."""
     q = F.col("question")
     return _questions(spark, sf_dir).select("doc_id", T.meta_command(q).alias("command"), T.summary_intent(q).alias("summary"), T.anchor_escape(q).alias("escapes"))
+
+
+@query(
+    "fn_extra_state",
+    """with s as (select source session, max(doc_id) m, count(*) n from documents where source is not null group by source) select session, 'f' || n last_focus, '' last_topic, n % 2 = 0 summary_updated, case when n % 3 = 0 then 0 else round(n / 7::double, 4) end anchor_support_ratio, greatest(0, least(1, n / 10::double)) anchor_confidence from s""",
+)
+def fn_extra_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FN68: what a session keeps besides its turns, packed as JSON with keys it mustn't have and a ratio that may be no number, read back through the list of allowed keys with types and defaults."""
+    s = table(spark, sf_dir, "documents").where("source is not null").groupBy(F.col("source").alias("session")).agg(F.count("*").alias("n"))
+    ratio = F.when(F.col("n") % 3 == 0, "none").otherwise(F.round(F.col("n") / 7, 4).cast("string"))
+    packed = F.to_json(F.struct(F.concat(F.lit("f"), "n").alias("last_focus"), F.lit("x").alias("not_allowed"), (F.col("n") % 2 == 0).alias("summary_updated"), ratio.alias("anchor_support_ratio"), F.struct((F.col("n") / 10).alias("confidence")).alias("anchor")))
+    allowed = "last_focus string, last_topic string, summary_updated boolean, anchor_support_ratio string, anchor struct<confidence:double>"
+    r = s.select("session", F.from_json(packed, allowed).alias("x"))
+    return r.select(
+        "session", F.coalesce("x.last_focus", F.lit("")).alias("last_focus"), F.coalesce("x.last_topic", F.lit("")).alias("last_topic"), F.coalesce("x.summary_updated", F.lit(False)).alias("summary_updated"),
+        F.coalesce(F.expr("try_cast(x.anchor_support_ratio as double)"), F.lit(0.0)).alias("anchor_support_ratio"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("x.anchor.confidence", F.lit(0.0)))).alias("anchor_confidence"),
+    )
+
+
+@query(
+    "sc_preprint_feed",
+    """with f as (select paper_id, ingested_at, '<entry><id>' || arxiv_id || '</id><title> ' || title || chr(10) || ' </title><published>' || coalesce(regexp_extract(publication_date, '((?:19|20)[0-9]{2})', 1), '') || '-01-01</published></entry>' feed from papers where trim(arxiv_id) <> '' and title is not null)
+    select paper_id, ingested_at, trim(regexp_replace(regexp_extract(feed, '(?s)<title>(.*?)</title>', 1), '[ \\t\\r\\n]+', ' ', 'g')) title, regexp_extract(feed, '<published>([0-9]{4})', 1) "year" from f""",
+)
+def sc_preprint_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SC43: title and year read from the feed a preprint server gives; the stand-in writes the feed from the papers."""
+    p = table(spark, sf_dir, "papers").where("trim(arxiv_id) <> '' and title is not null")
+    year = F.coalesce(F.regexp_extract("publication_date", "((?:19|20)[0-9]{2})", 1), F.lit(""))
+    feed = F.concat(F.lit("<entry><id>"), "arxiv_id", F.lit("</id><title> "), "title", F.lit("\n </title><published>"), year, F.lit("-01-01</published></entry>"))
+    f = p.select("paper_id", "ingested_at", feed.alias("feed"))
+    return f.select("paper_id", "ingested_at", F.trim(F.regexp_replace(F.regexp_extract("feed", "(?s)<title>(.*?)</title>", 1), r"[ \t\r\n]+", " ")).alias("title"), F.regexp_extract("feed", "<published>([0-9]{4})", 1).alias("year"))
