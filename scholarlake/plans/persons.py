@@ -132,8 +132,8 @@ _GAP = r"(?: +[a-z][.]? *)* +"
 _HAY = lambda c: _COLL(f"regexp_replace(lower(coalesce({c}, '')), '[,()\\[\\]]+', ' ', 'g')")
 _FULL = f"(?:\\b' || f || '{_GAP}' || l || '\\b|\\b' || l || '{_GAP}' || f || '\\b)"
 _INIT = f"(?:\\b' || f[1:1] || '[.]?{_GAP}' || l || '\\b|\\b' || l || '{_GAP}' || f[1:1] || '\\b)"
-_STRENGTH = lambda h: f"case when regexp_matches({h}, '{_FULL}') then 3 when regexp_matches({h}, '{_INIT}') then 2 when regexp_matches({h}, '\\b' || l || '\\b') then 1 else 0 end"
-_ASKED = """asked as (select distinct name, lower(k[1]) f, lower(k[-1]) l from (select name, regexp_extract_all(name, '([A-Za-z]+)', 1) k from (select distinct regexp_extract(text, '^Q: What does (.*) study in', 1) name from documents where doc_kind = 'qa_pair' and text is not null)) where len(k) >= 2 and len(regexp_extract_all(name, '[^\\x00-\\x7F]')) = 0)"""
+_STRENGTH = lambda h: f"case when regexp_matches({h}, '{_FULL}') or contains({h}, v1) or contains({h}, v2) then 3 when regexp_matches({h}, '{_INIT}') or contains({h}, v3) then 2 when regexp_matches({h}, '\\b' || l || '\\b') then 1 else 0 end"
+_ASKED = """asked as (select distinct name, lower(k[1]) f, lower(k[-1]) l, lower(array_to_string(k, ' ')) v1, lower(k[1] || ' ' || array_to_string(list_transform(k[2:-2], lambda x: x[1:1] || '.'), ' ') || ' ' || k[-1]) v2, lower(k[1][1:1] || '. ' || array_to_string(list_transform(k[2:-2], lambda x: x[1:1] || '.'), ' ') || ' ' || k[-1]) v3 from (select name, regexp_extract_all(name, '([A-Za-z]+)', 1) k from (select distinct regexp_extract(text, '^Q: What does (.*) study in', 1) name from documents where doc_kind = 'qa_pair' and text is not null)) where len(k) >= 2 and len(regexp_extract_all(name, '[^\\x00-\\x7F]')) = 0)"""
 _SCORED = f"""{_ASKED}, d as (select chunk_id, any_value(researcher) researcher, any_value(su_researchers) authors, any_value("text") "text", any_value(work_id) work_id from chunks group by chunk_id),
  h as (select chunk_id, work_id, {_HAY('researcher')} hr, {_HAY('authors')} ha, {_HAY('"text"[:2000]')} ht from d), x as (select *, list_distinct(regexp_extract_all(hr || ' ' || ha || ' ' || ht, '([a-z]+)', 1)) ws from h), e as (select chunk_id, work_id, hr, ha, ht, unnest(ws) l from x),
  m as (select name, chunk_id, work_id, {_STRENGTH('hr')} r, {_STRENGTH('ha')} a, {_STRENGTH('ht')} c from e join asked using (l)),
@@ -141,21 +141,28 @@ _SCORED = f"""{_ASKED}, d as (select chunk_id, any_value(researcher) researcher,
 
 
 def _strength(hay: str) -> Column:
-    """3 with the first name, 2 with its initial, 1 the surname alone, 0: how well a text (lower-case, punctuation blanked) names the person f, l."""
+    """3 with the first name, 2 with its initial, 1 the surname alone, 0: how well a text (lower-case, punctuation blanked) names the person f, l.
+
+    Other given names stand between as they are, or as initials (v1, v2 with the first name, v3 with its initial).
+    """
     lit = F.lit
     f, l = F.col("f"), F.col("l")
     full = F.concat(lit(r"(?:\b"), f, lit(_GAP), l, lit(r"\b|\b"), l, lit(_GAP), f, lit(r"\b)"))
     i = F.substring("f", 1, 1)
     initial = F.concat(lit(r"(?:\b"), i, lit(r"[.]?" + _GAP), l, lit(r"\b|\b"), l, lit(_GAP), i, lit(r"\b)"))
     h = F.col(hay)
-    return F.when(F.rlike(h, full), 3).when(F.rlike(h, initial), 2).when(F.rlike(h, F.concat(lit(r"\b"), l, lit(r"\b"))), 1).otherwise(0)
+    return F.when(F.rlike(h, full) | F.contains(h, "v1") | F.contains(h, "v2"), 3).when(F.rlike(h, initial) | F.contains(h, "v3"), 2).when(F.rlike(h, F.concat(lit(r"\b"), l, lit(r"\b"))), 1).otherwise(0)
 
 
 def person_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(name, chunk_id, work_id, score) of the chunks that name somebody asked about; candidates meet by their surnames, not all by all."""
     asked = _questions(spark, sf_dir).select(F.regexp_extract(F.concat(F.lit("Q: "), "question"), "^Q: What does (.*) study in", 1).alias("name")).distinct()
     k = T.name_tokens(F.col("name"))
-    asked = asked.where(~F.col("name").rlike(r"[^\x00-\x7F]") & (F.size(k) >= 2)).select("name", F.lower(F.element_at(k, 1)).alias("f"), F.lower(F.element_at(k, -1)).alias("l"))
+    between = F.array_join(F.transform(F.slice(k, 2, F.greatest(F.size(k) - 2, F.lit(0))), lambda x: F.concat(F.substring(x, 1, 1), F.lit("."))), " ")
+    asked = asked.where(~F.col("name").rlike(r"[^\x00-\x7F]") & (F.size(k) >= 2)).select(
+        "name", F.lower(F.element_at(k, 1)).alias("f"), F.lower(F.element_at(k, -1)).alias("l"), F.lower(F.array_join(k, " ")).alias("v1"),
+        F.lower(F.concat_ws(" ", F.element_at(k, 1), between, F.element_at(k, -1))).alias("v2"), F.lower(F.concat(F.substring(F.element_at(k, 1), 1, 1), F.lit(". "), F.concat_ws(" ", between, F.element_at(k, -1)))).alias("v3"),
+    )
     hay = lambda c: T.collapse(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[,()\[\]]+", " "))
     d = table(spark, sf_dir, "chunks").dropDuplicates(["chunk_id"]).select("chunk_id", "work_id", hay(F.col("researcher")).alias("hr"), hay(F.col("su_researchers")).alias("ha"), hay(F.substring("text", 1, 2000)).alias("ht"))
     e = d.select("*", F.explode(F.array_distinct(F.regexp_extract_all(F.concat_ws(" ", "hr", "ha", "ht"), F.lit("([a-z]+)"), F.lit(1)))).alias("l"))
