@@ -44,7 +44,13 @@ def tk_knn_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(e.where("vec_id % 50 = 0"), e.where("label = 3"), "vec_id", "embedding", 10).withColumn("similarity", F.round("similarity", 6))
 
 
-@query("tk_mmr")
+@query(
+    "tk_mmr",
+    _KNN.replace("with s as", "with recursive s as")
+    + """), n as (select query, key, similarity from s qualify row_number() over (partition by query order by similarity desc, key) <= 30), c as (select query, list(struct_pack(key := key, sim := similarity, e := embedding::double[]) order by similarity desc, key) cs from n join embeddings on vec_id = key group by query),
+    r(query, cs, chosen) as (select query, cs, [cs[1].key] from c union all select query, cs, list_append(chosen, cs[list_position(sc, list_max(sc))].key) from (select *, list_transform(cs, lambda x: case when list_contains(chosen, x.key) then -9 else round(0.6::double * x.sim - 0.4::double * list_max(list_transform(list_filter(cs, lambda d: list_contains(chosen, d.key)), lambda d: list_cosine_similarity(x.e, d.e))), 9) end) sc from r where len(chosen) < least(12, len(cs))))
+    select query, unnest(chosen) key, cast(unnest(generate_series(1, len(chosen))) as int) "rank" from r where len(chosen) = least(12, len(cs))""",
+)
 def tk_mmr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TK2, C3: twelve of the thirty nearest, diversified."""
     e = table(spark, sf_dir, "embeddings")
@@ -403,7 +409,17 @@ def evidence_graph(hits: DataFrame, works: DataFrame) -> DataFrame:
     return nodes.select(F.lit("node").alias("part"), "kind", "source", F.lit(None).cast("string").alias("target"), "label").unionByName(edges)
 
 
-@query("gr_evidence_graph")
+@query(
+    "gr_evidence_graph",
+    f"""with {_RUN}, {_WORK}, h as (select trim(researcher) researcher, work_id, min(pos) p, trim(coalesce(arg_min_null(title, pos), '')) title, trim(coalesce(arg_min_null(topic, pos), '')) topic from run where trim(coalesce(work_id, '')) <> '' group by researcher, work_id qualify row_number() over (partition by researcher order by p, work_id) <= 40),
+    a as (select openalex_id work_id, list_filter(list_transform(x.a, lambda y: trim(y.name)), lambda y: coalesce(y <> '', false)) ns from w), b as (select work_id, list_filter(ns, lambda y, i: list_position(list_transform(ns, lambda z: lower(z)), lower(y)) = i)[:{MOST_AUTHORS}] ns from a),
+    au as (select h.*, unnest(ns) author, unnest(generate_series(0, len(ns) - 1)) n from h join b using (work_id)),
+    e as (select p, researcher, work_id, 0 n, 'paper' kind, 'paper:' || work_id source, case when title <> '' then title else 'paper ' || work_id end label from h union all select p, researcher, work_id, 0, 'researcher', 'researcher:' || lower(researcher), researcher from h where researcher <> ''
+      union all select p, researcher, work_id, 0, 'topic', 'topic:' || lower(topic), topic from h where topic <> '' and lower(topic) <> 'n/a' union all select p, researcher, work_id, n, 'author', 'author:' || lower(author), author from au)
+    select 'node' part, kind, source, null target, first(label order by p, researcher, work_id, n) label from e group by kind, source
+    union all select distinct 'edge', 'WROTE', 'researcher:' || lower(researcher), 'paper:' || work_id, null from h where researcher <> '' union all select distinct 'edge', 'AUTHORED', 'author:' || lower(author), 'paper:' || work_id, null from au
+    union all select distinct 'edge', 'HAS_TOPIC', 'paper:' || work_id, 'topic:' || lower(topic), null from h where topic <> '' and lower(topic) <> 'n/a'""",
+)
 def gr_evidence_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TF3-TF5, QO34, FN28: the whole graph of evidence: nodes, and edges WROTE, AUTHORED and HAS_TOPIC, of forty works a researcher."""
     first = asked_run(spark, sf_dir).groupBy("researcher", "work_id").agg(F.min("pos").alias("p"), F.min_by("topic", "pos").alias("topic"), F.min_by("title", "pos").alias("title"))

@@ -41,7 +41,7 @@ def duck(sql: str, sf_dir: str):
 
 #: Queries without SQL, with the test that holds them to brute force, hand-worked cases or an exact round trip.
 CHECKED = {
-    "p1_found": "test_split_values", "p1_values": "test_split_values", "tk_mmr": "test_functions", "fn_tidy_answers": "test_answers", "fn_checked_citations": "test_answers", "gr_evidence_graph": "test_evidence", "qo_embed_search": "test_answers (nearest)",
+    "p1_found": "test_split_values", "p1_values": "test_split_values", "fn_tidy_answers": "test_answers", "fn_checked_citations": "test_answers", "qo_embed_search": "test_answers (nearest)",
     **{n: "llm/test_llm" for n in ("p3_found", "p3_matches", "p4_found", "p4_repaired", "p5_found", "p5_survivors", "p5_golden", "p6_pieces", "p7_found", "p7_entities", "p8_ids", "p9_containers", "p9_fill", "p10_found")},
 }
 
