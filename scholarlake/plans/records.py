@@ -34,7 +34,6 @@ def query(name: str, sql: str | None = None):
 # ---- records as delivered: the tables written out as JSON lines, with lines that can't be read among them, and read again
 
 
-@F.pandas_udf("map<string,array<int>>")
 def _inverted(texts: pd.Series) -> pd.Series:
     """Word -> places: how texts are delivered."""
     out = []
@@ -48,7 +47,7 @@ def _inverted(texts: pd.Series) -> pd.Series:
 
 def _raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = table(spark, sf_dir, "normalized_works")
-    index = _inverted("abstract")
+    index = F.pandas_udf(_inverted, "map<string,array<int>>")("abstract")
     person = lambda a: F.struct(
         a["position"].alias("author_position"), a["is_corresponding"].alias("is_corresponding"), F.struct(F.concat(F.lit("https://x.org/"), a["id"]).alias("id"), a["name"].alias("display_name")).alias("author"),
         F.when(a["is_su"], F.array(F.struct(F.lit("https://x.org/I7").alias("id")))).alias("institutions"),
