@@ -75,7 +75,6 @@ def _elements(text: str) -> list[tuple[str, int, int, str, str]]:
                     out.append(("quoted", i, q[1], q[0], ""))
                     i = begin = q[1]
                     continue
-                close = text.find('"', i + 1)
                 flag = "malformed_quote"
                 i += 1
                 continue

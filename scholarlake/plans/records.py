@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from scholarlake.functions import text as T
 from scholarlake.operators import answers as A
-from scholarlake.plans.relational import _PAPERS, current_papers
-from scholarlake.plans.retrieval import _RUN, asked_run, current_works
+from scholarlake.plans.relational import current_papers
+from scholarlake.plans.retrieval import _RUN, asked_run
 from scholarlake.plans.texts import _COLL, _NORM, _STOP, _STRIP, _questions
 from scholarlake.sources import files, records
 from scholarlake.sources.catalog import Catalog, Corpus
