@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scholarlake.functions import text as T
+from scholarlake.plans.cluster import cut
 from scholarlake.plans.texts import _COLL, _NORM, _STOP, _questions
 from scholarlake.sources.tables import table
 
@@ -128,6 +129,8 @@ def fn_comparison_people(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- evidence for a person
 
+MOST_ASKED = 20_000  # persons asked about up to which they are broadcast
+
 _GAP = r"(?: +[a-z][.]? *)* +"
 _HAY = lambda c: _COLL(f"regexp_replace(lower(coalesce({c}, '')), '[,()\\[\\]]+', ' ', 'g')")
 _FULL = f"(?:\\b' || f || '{_GAP}' || l || '\\b|\\b' || l || '{_GAP}' || f || '\\b)"
@@ -155,7 +158,11 @@ def _strength(hay: str) -> Column:
 
 
 def person_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(name, chunk_id, work_id, score) of the chunks that name somebody asked about; candidates meet by their surnames, not all by all."""
+    """(name, chunk_id, work_id, score) of the chunks that name somebody asked about; candidates meet by their surnames, not all by all.
+
+    Only keys and single words are joined to the surnames; texts come back, by key, for the chunks that have one. Of chunks of one
+    id each field is the greatest, so that both readings see the same.
+    """
     asked = _questions(spark, sf_dir).select(F.regexp_extract(F.concat(F.lit("Q: "), "question"), "^Q: What does (.*) study in", 1).alias("name")).distinct()
     k = T.name_tokens(F.col("name"))
     between = F.array_join(F.transform(F.slice(k, 2, F.greatest(F.size(k) - 2, F.lit(0))), lambda x: F.concat(F.substring(x, 1, 1), F.lit("."))), " ")
@@ -164,9 +171,14 @@ def person_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lower(F.concat_ws(" ", F.element_at(k, 1), between, F.element_at(k, -1))).alias("v2"), F.lower(F.concat(F.substring(F.element_at(k, 1), 1, 1), F.lit(". "), F.concat_ws(" ", between, F.element_at(k, -1)))).alias("v3"),
     )
     hay = lambda c: T.collapse(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[,()\[\]]+", " "))
-    d = table(spark, sf_dir, "chunks").dropDuplicates(["chunk_id"]).select("chunk_id", "work_id", hay(F.col("researcher")).alias("hr"), hay(F.col("su_researchers")).alias("ha"), hay(F.substring("text", 1, 2000)).alias("ht"))
-    e = d.select("*", F.explode(F.array_distinct(F.regexp_extract_all(F.concat_ws(" ", "hr", "ha", "ht"), F.lit("([a-z]+)"), F.lit(1)))).alias("l"))
-    m = e.join(asked, "l").select("name", "chunk_id", "work_id", _strength("hr").alias("r"), _strength("ha").alias("a"), _strength("ht").alias("c"))
+    asked = cut(asked)
+    few = asked.limit(MOST_ASKED + 1).count() <= MOST_ASKED
+    known = F.coalesce(F.concat(F.lit("="), "chunk_id"), F.lit("")).alias("key")  # chunks without an id are one
+    one = table(spark, sf_dir, "chunks").groupBy(known).agg(*(F.max(c).alias(c) for c in ("chunk_id", "work_id", "researcher", "su_researchers")), F.max(F.substring("text", 1, 2000)).alias("text"))
+    d = one.select("key", "chunk_id", "work_id", hay(F.col("researcher")).alias("hr"), hay(F.col("su_researchers")).alias("ha"), hay(F.col("text")).alias("ht"))
+    words = d.select("key", F.explode(F.array_distinct(F.regexp_extract_all(F.concat_ws(" ", "hr", "ha", "ht"), F.lit("([a-z]+)"), F.lit(1)))).alias("l"))
+    met = words.join(F.broadcast(asked) if few else asked, "l")
+    m = d.join(met, "key").select("name", "chunk_id", "work_id", _strength("hr").alias("r"), _strength("ha").alias("a"), _strength("ht").alias("c"))
     ladder = [("r", 3, 4.0), ("a", 3, 3.0), ("r", 2, 2.0), ("a", 2, 1.5), ("c", 3, 1.2), ("c", 2, 1.0), ("r", 1, 0.3), ("a", 1, 0.2), ("c", 1, 0.15)]
     score = F.coalesce(*(F.when(F.col(c) == n, F.lit(s)) for c, n, s in ladder), F.lit(0.0))
     return m.select("name", "chunk_id", "work_id", score.alias("score"))
