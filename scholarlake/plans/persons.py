@@ -150,11 +150,12 @@ def _strength(hay: str) -> Column:
     """
     lit = F.lit
     f, l = F.col("f"), F.col("l")
-    full = F.concat(lit(r"(?:\b"), f, lit(_GAP), l, lit(r"\b|\b"), l, lit(_GAP), f, lit(r"\b)"))
+    begin, end = r"(?<![0-9A-Za-z_])", r"(?![0-9A-Za-z_])"  # of words of ASCII, as in the SQL
+    full = F.concat(lit(f"(?:{begin}"), f, lit(_GAP), l, lit(f"{end}|{begin}"), l, lit(_GAP), f, lit(f"{end})"))
     i = F.substring("f", 1, 1)
-    initial = F.concat(lit(r"(?:\b"), i, lit(r"[.]?" + _GAP), l, lit(r"\b|\b"), l, lit(_GAP), i, lit(r"\b)"))
+    initial = F.concat(lit(f"(?:{begin}"), i, lit(r"[.]?" + _GAP), l, lit(f"{end}|{begin}"), l, lit(_GAP), i, lit(f"{end})"))
     h = F.col(hay)
-    return F.when(F.rlike(h, full) | F.contains(h, "v1") | F.contains(h, "v2"), 3).when(F.rlike(h, initial) | F.contains(h, "v3"), 2).when(F.rlike(h, F.concat(lit(r"\b"), l, lit(r"\b"))), 1).otherwise(0)
+    return F.when(F.rlike(h, full) | F.contains(h, "v1") | F.contains(h, "v2"), 3).when(F.rlike(h, initial) | F.contains(h, "v3"), 2).when(F.rlike(h, F.concat(lit(begin), l, lit(end))), 1).otherwise(0)
 
 
 def person_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,11 +189,8 @@ def person_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
   select name, chunk_id, round(score, 2) score, cast(row_number() over (partition by name order by case when strong and score >= 2 then 0 when (strong or matched) and score >= 1 then 1 else 2 end, score desc, work_id, chunk_id) as int) k from sc join n using (name) qualify k <= 12""")
 def tk_person_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN29, FN30, FN31, WN13, WN14, JN20, QO8, TK7, C5: chunks scored by how they name a person, the strong before the matched before the weak, twelve each."""
-    sc = person_scores(spark, sf_dir)
-    n = sc.groupBy("name").agg(F.max("score").alias("top"))
-    tier = F.expr("case when top >= 2 and score >= 2 then 0 when top >= 1 and score >= 1 then 1 else 2 end")
-    order = Window.partitionBy("name").orderBy(tier, F.desc("score"), "work_id", "chunk_id")
-    return sc.join(n, "name").withColumn("k", F.row_number().over(order)).where("k <= 12").select("name", "chunk_id", F.round("score", 2).alias("score"), "k")
+    order = Window.partitionBy("name").orderBy(F.desc("score"), "work_id", "chunk_id")  # 2 or more is strong and 1 or more matched, so that tiers stand as scores do
+    return person_scores(spark, sf_dir).withColumn("k", F.row_number().over(order)).where("k <= 12").select("name", "chunk_id", F.round("score", 2).alias("score"), "k")
 
 
 _DOWN = "case {0} when 'high' then 'medium' when 'medium' then 'low' when 'low' then 'weak' else {0} end"

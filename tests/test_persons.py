@@ -8,7 +8,7 @@ from compare import rows_of
 import __spark_entry__ as entry
 from scholarlake.plans import persons
 
-NAMES = ["Ann Boler", "Jo Maria Lind", "Cy Boler", "Prince", "Zoë Lind", "Al Stone"]
+NAMES = ["Ann Boler", "Jo Maria Lind", "Cy Boler", "Prince", "Zoë Lind", "Al Stone", "Ramona Nes?bemin"]
 CHUNKS = [
     ("c1", "w1", "Ann Boler", None, "Boler, A. on meadows and stone"),
     ("c1", "w1", "Ann Boler", None, "Boler, A. on meadows and stone"),
@@ -17,6 +17,10 @@ CHUNKS = [
     (None, "w2", "C. Boler", "", "Cy x. Boler said so"),
     (None, "w2", "C. Boler", "", "Cy x. Boler said so"),
     ("", "w2", None, None, "al stone"),
+    ("e1", "w3", "Ramona Nesübemin", "Ramona Nesübemin | An Other", "nesübemin and ébemin"),
+    ("e2", "w4", None, None, "ramona bemin"),
+    ("e3", "w4", "Bemin, R.", None, "bemin"),
+    ("e4", "w4", "R. Bemin", None, "bemin_1 bemin"),
     *((f"d{i:02}", f"w{i % 5}", None, "Al Stone" if i % 3 else None, f"a stone {i} of boler") for i in range(30)),
 ]
 
