@@ -2,10 +2,11 @@
 
 Page numbers and running headers are told from the text by where they stand and how they run on. What is left is one stream of
 characters without line ends. It is decoded jointly into words: the cheapest way through a lattice whose arcs read a character
-as it stands, as a listed confusion, drop a stray space or a break at a line end, or put in a space that is missing, along the
-prefixes of corpus words only; a word costs what its frequency says, and stretches no way leads through stay as they are. Lines
-all of whose words stand are no part of any cheaper way and are passed over. Paragraphs are then cut where a dynamic programme
-over the lines finds it cheapest.
+as it stands, as a listed confusion, drop a stray space, a line end or a break with its hyphen or without, or put in a space that is
+missing, along the prefixes of corpus words only; a word costs what its frequency says, and what no way leads through stays as it
+is. The lattice falls into parts wherever dropping a blank costs more than all the words that could gain by it, and units that cost
+less than half a dropped blank are parts of their own; so what stands is passed over and the way found is still the cheapest of
+all. Paragraphs are then cut where a dynamic programme over the lines finds it cheapest.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -37,6 +39,10 @@ CONFUSED, SPLIT, MERGED, UNKNOWN = 2.5, 14.0, 12.0, 25.0  # the k-th confusion o
 PER_LETTER, SHORT_PART = 2.0, 4.0  # of an unknown word each letter over ten; of a space put in beside a part of under three letters
 
 _WORD = re.compile(r"[^\W_](?:[\w@|!$¢€]*[\w@|$])?(?:[-'’][\w@|!$]+)*|[@|!$][\w@|!$]+(?:[-'’][\w@|!$]+)*")
+_UNIT = re.compile(rf"(?:{_WORD.pattern})(?:[{BREAKS}][^\S\n]*\n\s*(?=[^\W\d_]|[@0156|9])(?:{_WORD.pattern}))*")
+BROKEN = "\n"  # what stands for a break inside a unit
+_BROKEN = re.compile(rf"[{BREAKS}][^\S\n]*\n\s*")
+_SOFT = re.compile(r" |[^\S\n\f]*\n[^\S\n\f]*")
 _LIGATURE = re.compile("[" + "".join(LIGATURES) + "]")
 _N = r"[0-9OolISB]*[0-9][0-9OolISB]*|[Ol][0-9OolI]+"
 _ROMAN = r"[ivxlc]{1,7}|[IVXLC]{1,7}"
@@ -229,6 +235,45 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame(counts.items(), columns=["word", "n"])
 
 
+class Word(NamedTuple):
+    """A word of a way through the lattice, and the place where it begins."""
+
+    word: str
+    at: int
+    misread: bool
+    broken: bool
+
+
+class Reading(NamedTuple):
+    """What stands for so many units."""
+
+    cost: float
+    words: list[Word]
+    changed: bool
+    units: int = 1
+
+
+def _characters(read: str) -> tuple[str, str, set[int]]:
+    """What is read in small letters with its ligatures taken apart and its breaks single characters; the same as written; the places of ligatures."""
+    as_read = _BROKEN.sub(BROKEN, read)
+    if not _LIGATURE.search(as_read):
+        low = as_read.lower()
+        return low, as_read if len(low) == len(as_read) else low, set()
+    out, places = "", set()
+    for c in as_read:
+        if told := LIGATURES.get(c):
+            places.update(range(len(out), len(out) + len(told)))
+        out += told or c
+    low = out.lower()
+    return low, out if len(low) == len(out) else low, places
+
+
+def _figure(low: str) -> bool:
+    """Whether something read is a number rather than a word."""
+    letters = sum(c.isalpha() for c in low)
+    return letters < 1 or letters == 1 and len(low) > 2 and sum(c.isdigit() for c in low) > 1
+
+
 class Decoder:
     """The cheapest reading of a stretch of characters as corpus words."""
 
@@ -238,9 +283,10 @@ class Decoder:
         self.common = LEAST_SHARE * texts
         self.sorted = sorted(counts)
         self.memo: dict[str, tuple[str, int] | None] = {}
-        self.settled: set[str] = set()  # words as read that stand, and whose lines need no look
+        self.settled: set[str] = set()  # words as read that stand and cost no more than half a dropped blank: two of them are never one word
         self.begun: dict[str, bool] = {}
-        self.read: dict[str, list[tuple[str, bool]]] = {}
+        self.units: dict[str, Reading] = {}
+        self.read: dict[str, list[Reading]] = {}
         self.meant: dict[str, list[str]] = {}
         for seen, meant in CONFUSIONS:
             self.meant.setdefault(seen, []).append(meant)
@@ -314,83 +360,176 @@ class Decoder:
     def unknown(self, word: str) -> float:
         return UNKNOWN + PER_LETTER * max(0, len(word) - 10)
 
-    def reading(self, stretch: str) -> list[tuple[str, bool]]:
-        """The words (with whether any of its characters was misread) of the cheapest way through `stretch`, tokens with blanks between."""
-        if stretch not in self.read:
+    def unit(self, read: str) -> Reading:
+        """The cheapest reading of a stretch without blanks, taken alone; one broken at a line end is read across its break."""
+        if (known := self.units.get(read)) is None:
+            if len(self.units) > 200_000:
+                self.units.clear()
+            known = self.units[read] = self._unit(read)
+            if known.cost <= MERGED / 2 and not known.changed and read not in self.settled:
+                if len(self.settled) > 300_000:
+                    self.settled.clear()
+                self.settled.add(read)
+        return known
+
+    def _unit(self, read: str) -> Reading:
+        s, _, odd = _characters(read)
+        if _figure(s):
+            return Reading(0.0, [Word(s, 0, False, False)], False)
+        if BROKEN in s:
+            known = [self.cost(w) for w in (s.replace(BROKEN, ""), s.replace(BROKEN, "-")) if w in self.counts and self._arc(w, w, 0) is not None]
+            whole = [w for w in self._words(s, 0, [min(known, default=UNKNOWN)], 0.0, [0] * (len(s) + 1)) if w[0] == len(s)]
+            cost, word, misread = whole[0][1:] if whole else (self.unknown(s), self._unheard(read), False)
+            misread = misread or bool(odd)
+        elif fixed := self.correction(read):
+            word, k = fixed
+            misread = True
+            cost = self.cost(word) + CONFUSED * k * (k + 1) / 2 * (word != s) if word in self.counts else self.unknown(s)
+        else:
+            cost, word, misread = (self.cost(s) if s in self.counts else self.unknown(s)), s, False
+        alone = Reading(cost, [Word(word, 0, misread, BROKEN in s)], misread or BROKEN in s)
+        return self._through(s, [alone], odd)[0] if cost > SPLIT else alone
+
+    def _unheard(self, read: str) -> str:
+        """What a word broken at a line end is taken for where no corpus word is found for it."""
+        parts = _BROKEN.split(read)
+        kept = all(self.counts.get(x.lower(), 0) for p in parts for x in p.split("-")) or all(p[:1].isupper() for p in parts[1:])
+        return ("-" if kept else "").join(parts).lower()
+
+    def stretch(self, units: list[str]) -> list[Reading]:
+        """The cheapest way through the lattice of units with blanks or line ends between; each reading is of as many units as `units` says."""
+        told = " ".join(units)
+        if (known := self.read.get(told)) is None:
             if len(self.read) > 100_000:
                 self.read.clear()
-            self.read[stretch] = self._reading(stretch)
-        return self.read[stretch]
-
-    def _reading(self, s: str) -> list[tuple[str, bool]]:
-        n, serial = len(s), 0
-        heap: list[tuple] = [(0.0, 0, 0, "", 0, None)]  # cost, serial, place, word so far, its confusions, the words before
-        seen = set()
-
-        def push(cost: float, pos: int, prefix: str, k: int, back: tuple | None) -> None:
-            nonlocal serial
-            serial += 1
-            heapq.heappush(heap, (cost, serial, pos, prefix, k, back))
+            s, _, odd = _characters(told)
+            known = self._through(s, [self.unit(u) for u in units], odd)
+            if len(units) < 20:
+                self.read[told] = known
+        return known
 
-        while heap:
-            spent, _, pos, prefix, k, back = heapq.heappop(heap)
-            if (pos, prefix) in seen:
-                continue
-            seen.add((pos, prefix))
-            if pos >= n and not prefix:
-                out = []
-                while back is not None:
-                    back, word, misread = back
-                    out.append((word, misread))
-                return out[::-1]
-            if prefix:
-                if prefix in self.counts:
-                    told, c = (back, prefix, k > 0), spent + self.cost(prefix)
-                    if pos >= n or s[pos] == " ":
-                        push(c, pos + 1, "", 0, told)
-                    else:
-                        rest = min(x for x in (s.find(" ", pos), n) if x >= 0) - pos
-                        push(c + SPLIT + SHORT_PART * (len(prefix) < 3) + SHORT_PART * (rest < 3), pos, "", 0, told)
-                if pos < n and s[pos] == " ":
-                    push(spent + MERGED, pos + 1, prefix, k, back)
+    def _through(self, s: str, alone: list[Reading], odd: set[int]) -> list[Reading]:
+        """From place to place in order, each with the cheapest way to it: one word further, or one unit as it reads alone.
+
+        A way that costs as much as the units it has touched do alone, together with what dropping the next blanks could yet save,
+        is left: no cheapest way is lost by that.
+        """
+        n = len(s)
+        starts = [0, *(k + 1 for k, c in enumerate(s) if c == " "), n + 1]
+        owner = [x for x, (a, b) in enumerate(zip(starts, starts[1:])) for _ in range(b - a)]
+        summed = [0.0]
+        for r in alone:
+            summed.append(summed[-1] + r.cost)
+        saved = [0.0] * len(alone)
+        for x in range(len(alone) - 2, -1, -1):
+            saved[x] = max(0.0, alone[x + 1].cost - MERGED + saved[x + 1])
+        room = [a + b for a, b in zip(summed[1:], saved)]
+        best: dict[int, tuple[float, int, Word | None]] = {0: (0.0, -1, None)}  # place -> (cost of the way, place before, the word between)
+        places = [0]
+        entry = 0.0
+
+        def reach(to: int, cost: float, before: int, word: Word | None) -> None:
+            if to not in best:
+                heapq.heappush(places, to)
+            if to not in best or cost < best[to][0]:
+                best[to] = (cost, before, word)
+
+        while (i := heapq.heappop(places)) <= n:
+            cost, x = best[i][0], owner[i]
+            if starts[x] == i:
+                entry = cost
+                reach(starts[x + 1], cost + alone[x].cost, i, None)
+            base = entry - summed[x] - cost
+            for at, c, word, misread in self._words(s, i, room, base, owner):
+                told = Word(word, i, misread or not odd.isdisjoint(range(i, at)), BROKEN in s[i:at])
+                if at == n or s[at] == " ":
+                    if owner[at - 1] > x or starts[x] != i:  # else that unit alone
+                        reach(at + 1, cost + c, i, told)
                     continue
-            elif pos == 0 or s[pos - 1] == " ":
-                end = s.find(" ", pos)
-                end = n if end < 0 else end
-                push(spent + self.unknown(s[pos:end]), end + 1, "", 0, (back, s[pos:end], False))
-            if pos < n and s[pos] != " ":
-                if self.begins(v := prefix + s[pos]):
-                    push(spent, pos + 1, v, k, back)
-                for width in (1, 2):
-                    if pos + width <= n:
-                        for meant in self.meant.get(s[pos : pos + width], ()):
+                y = owner[at]
+                c += SPLIT + SHORT_PART * (len(word) < 3) + SHORT_PART * (starts[y + 1] - 1 - at < 3)
+                if c < room[y] + base:
+                    reach(at, cost + c, i, told)
+        way = []
+        i = n + 1
+        while i > 0:
+            _, before, word = best[i]
+            way.append((before, i, word))
+            i = before
+        out: list[Reading] = []
+        words: list[Word] = []
+        for before, i, word in reversed(way):
+            if word is None:
+                out.append(alone[owner[before]])
+                continue
+            if not words:
+                begun = before
+            words.append(word._replace(at=before - begun))
+            if i > n or s[i - 1] == " ":
+                units = owner[i - 2] - owner[begun] + 1
+                changed = units > 1 or len(words) > 1 or words[0].misread or words[0].broken
+                out.append(Reading(best[i][0] - best[begun][0], words, changed, units))
+                words = []
+        return out
+
+    def _words(self, s: str, i: int, room: list[float], base: float, owner: list[int]) -> list[tuple[int, float, str, bool]]:
+        """(end, cost, word, whether misread) of the cheapest word from place `i` of `s` to each place where one may end.
+
+        A character stands, is a listed confusion, a blank is dropped, a break falls away or is a hyphen; by unit, `room`
+        and `base` together are what a word may cost there. A rare word that is taken for another as it is read does not stand.
+        """
+        n = len(s)
+        ends: dict[int, tuple[float, int, str, bool]] = {}
+        todo = [(i, "", "", 0, 0)]
+        seen = set(todo)
+        while todo:
+            pos, prefix, raw, k, dropped = todo.pop()
+            spent = CONFUSED * k * (k + 1) / 2
+            if prefix and (pos == n or s[pos] != BROKEN) and s[pos - 1] not in " " + BROKEN and prefix in self.counts and (c := self._arc(prefix, raw, k)) is not None:
+                c += MERGED * dropped
+                if pos not in ends or (c, len(prefix)) < ends[pos][:2]:
+                    ends[pos] = (c, len(prefix), prefix, k > 0)
+            if pos >= n:
+                continue
+            ahead: list[tuple[int, str, str, int, int]] = []
+            here = s[pos]
+            if here == " ":
+                if prefix:
+                    ahead.append((pos + 1, prefix, raw, k, dropped + 1))
+            elif here == BROKEN:
+                if prefix:
+                    ahead.append((pos + 1, prefix, raw, k, dropped))
+                    if self.begins(v := prefix + "-"):
+                        ahead.append((pos + 1, v, raw + "-", k, dropped))
+            else:
+                if self.begins(v := prefix + here):
+                    ahead.append((pos + 1, v, raw + here, k, dropped))
+                if spent + CONFUSED * (k + 1) < UNKNOWN:
+                    for width in (1, 2):
+                        for meant in self.meant.get(s[pos : pos + width], ()) if pos + width <= n else ():
                             if self.begins(v := prefix + meant):
-                                push(spent + CONFUSED * (k + 1), pos + width, v, k + 1, back)
-        return [(w, False) for w in s.split()]
+                                ahead.append((pos + width, v, raw + s[pos : pos + width], k + 1, dropped))
+            for state in ahead:
+                if state not in seen and MERGED * state[4] + CONFUSED * state[3] * (state[3] + 1) / 2 < room[owner[min(state[0], n - 1)]] + base:
+                    seen.add(state)
+                    todo.append(state)
+        return [(at, c, word, misread) for at, (c, _, word, misread) in ends.items()]
+
+    def _arc(self, word: str, raw: str, k: int) -> float | None:
+        """What `word` costs where `raw` is read, with `k` confusions; None where it is no reading of it."""
+        own, count = self.counts.get(raw, 0), self.counts[word]
+        if not k:
+            return None if own < self.common and self.correction(raw) is not None else self.cost(word)
+        if word == raw:
+            return None
+        least, bound = (own if own >= self.common else 0, self.stands(raw)) if count >= self.common else (own, self.cost(raw))
+        c = self.cost(word) + CONFUSED * k * (k + 1) / 2
+        return c if count >= 8 * least and c < bound else None
 
     def joined(self, head: str, tail: str) -> tuple[str, float]:
         """The word that `head` and `tail`, broken at a line end, make, in small letters, and its cost."""
-        options = []
-        for w in (head + tail, f"{head}-{tail}"):
-            w = w.lower()
-            fixed = self.correction(w)
-            known = self.counts.get(w, 0)
-            options.append((self.cost(w), w) if known or not fixed else (self.cost(fixed[0]) + CONFUSED * fixed[1], fixed[0]))
-        plain, kept = options
-        if plain[0] >= UNKNOWN and kept[0] >= UNKNOWN:
-            parts = f"{head}-{tail}".split("-")
-            kept_known = all(self.counts.get(p.lower(), 0) for p in parts)
-            return (kept[1] if kept_known or tail[:1].isupper() else plain[1]), UNKNOWN
-        return (plain[1], plain[0]) if plain[0] <= kept[0] else (kept[1], kept[0])
-
-    def stands_alone(self, word: str) -> bool:
-        """Whether a word as read is a corpus word that nothing cheaper is a reading of; such words are remembered."""
-        if self.stands(word.lower()) >= UNKNOWN or self.correction(word) is not None:
-            return False
-        if len(self.settled) > 300_000:
-            self.settled.clear()
-        self.settled.add(word)
-        return True
+        r = self.unit(f"{head}-{BROKEN}{tail}")
+        return r.words[0].word, r.cost
 
 
 def _broken(line: str) -> re.Match | None:
@@ -424,60 +563,83 @@ def _cased(word: str, as_read: str) -> str:
 
 
 def decode(page: Page, decoder: Decoder) -> tuple[list[tuple[str, str]], list[str]]:
-    """(kind, item) of all repairs, and the lines of running text as they read after them ('' for all others)."""
+    """(kind, item) of all repairs, and the lines of running text as they read after them ('' for all others).
+
+    The running text is one stream: a line end is a blank that may be dropped as well, or a break where a hyphen stands before it.
+    """
     settle(page, decoder)
     text = [i for i, k in enumerate(page.kind) if k == "text"]
-    found: list[tuple[str, str]] = []
     out = [""] * len(page.lines)
-    settled, alone = decoder.settled, decoder.stands_alone
-    carried = 0  # characters of this line that went to the one before
-    for at, i in enumerate(text):
-        line = page.lines[i]
-        start, carried = carried, 0
-        head, end, tail = _broken(line), len(line), ""
-        if head is not None and head.start() >= start and at + 1 < len(text):
-            following = page.lines[text[at + 1]]
-            first = _WORD.search(following)
-            if first and not following[: first.start()].strip() and (first[0][0].isalpha() or first[0][0] in "@0156|9"):
-                word, _ = decoder.joined(head[0], first[0])
-                found.append(("hyphen", word))
-                if decoder.correction(head[0] + first[0]) and word not in ((head[0] + first[0]).lower(), f"{head[0]}-{first[0]}".lower()):
-                    found.append(("misread", word))
-                end, carried = head.start(), first.end() + len(re.match(r"\S*", following[first.end() :])[0])
-                tail = _cased(word, head[0]) + following[first.end() : carried]
-        body = line[start:end]
-        words = _WORD.findall(body)
-        if not settled.issuperset(words) and any(w not in settled and not alone(w) for w in words):
-            body = _repaired_line(body, decoder, found)
-        out[i] = (body.lstrip() if start else body) + tail
+    apart = {b for a, b in zip(text, text[1:]) if b - a > 1 and all(k == "blank" for k in page.kind[a + 1 : b])}
+    stream = "\n".join("\f" + page.lines[i] if i in apart else page.lines[i] for i in text)
+    found: list[tuple[str, str]] = []
+    stream = _decoded(stream, decoder, found)
+    for i, line in zip(text, stream.split("\n")):
+        out[i] = line.lstrip("\f")
     return found, out
 
 
-def _repaired_line(line: str, decoder: Decoder, found: list[tuple[str, str]]) -> str:
-    """`line` with its words decoded: those that stand as they are, misread ones one by one, what no word is found for together with its neighbours."""
-    tokens = list(_WORD.finditer(line))
-    fixed = [None if m[0] in decoder.settled else decoder.correction(m[0]) for m in tokens]
-    strange = [f is None and m[0] not in decoder.settled and m[0].isalpha() and decoder.stands(m[0].lower()) >= UNKNOWN for m, f in zip(tokens, fixed)]
-    mixed = [s or f is None and any(c.isalpha() for c in m[0]) and len(m[0]) > 6 and m[0] not in decoder.settled and decoder.stands(m[0].lower()) >= UNKNOWN for s, f, m in zip(strange, fixed, tokens)]
-    apart = [k == 0 or line[tokens[k - 1].end() : tokens[k].start()] != " " for k in range(len(tokens))]
-    parts, done, k = [], 0, 0
-    while k < len(tokens):
-        e = k + 1
-        if mixed[k] or e < len(tokens) and mixed[e] and not apart[e]:
-            while e < len(tokens) and not apart[e] and (mixed[e] or mixed[e - 1]):
-                e += 1
-            read = decoder.reading(" ".join(m[0].lower() for m in tokens[k:e]))
-            if [w for w, _ in read] != [m[0].lower() for m in tokens[k:e]]:
-                found += [("misread", w) for w, misread in read if misread]
-                said = " ".join(w for w, _ in read)
-                parts += [line[done : tokens[k].start()], _cased(said, tokens[k][0])]
-                done = tokens[e - 1].end()
-        elif fixed[k] is not None:
-            found.append(("misread", fixed[k][0]))
-            parts += [line[done : tokens[k].start()], _cased(fixed[k][0], tokens[k][0])]
-            done = tokens[k].end()
-        k = e
-    return "".join(parts) + line[done:]
+def _decoded(stream: str, decoder: Decoder, found: list[tuple[str, str]]) -> str:
+    """`stream` as it reads by the cheapest way through the lattice; its line ends stay, behind the words that went over them.
+
+    No way that drops a blank between two units is cheaper where what they and their neighbours cost alone is less than that: there
+    the lattice falls into parts, each decoded for itself.
+    """
+    units = list(_UNIT.finditer(stream))
+    settled, unit = decoder.settled, decoder.unit
+    hot = [k for k, m in enumerate(units) if m[0] not in settled]
+    if not hot:
+        return stream
+    costs = [MERGED / 2] * len(units)  # of a settled one the most it may cost
+    for k in hot:
+        costs[k] = unit(units[k][0]).cost
+    soft = lambda k: 0 < k < len(units) and _SOFT.fullmatch(stream, units[k - 1].end(), units[k].start()) is not None  # noqa: E731  whether unit k follows the one before at a blank
+    parts: list[str] = []
+    done = pending = 0
+
+    def literal(till: int) -> None:
+        nonlocal done, pending
+        chunk, done = stream[done:till], till
+        if pending and (m := re.search(r"\s", chunk)):
+            chunk = chunk[: m.start()] + "\n" * pending + chunk[m.start() :].lstrip(" \t")
+            pending = 0
+        parts.append(chunk)
+
+    at = 0
+    for h in hot:
+        if h < at:
+            continue
+        # on either side as far as dropping blanks may pay
+        first, gain = h, costs[h] - MERGED
+        while first > at and gain + costs[first - 1] > 0 and soft(first):
+            first -= 1
+            gain = max(gain, 0.0) + costs[first] - MERGED
+        last, gain = first, costs[first] - MERGED
+        while last + 1 < len(units) and (last < h or gain + costs[last + 1] > 0 and soft(last + 1)):
+            last += 1
+            gain = max(gain, 0.0) + costs[last] - MERGED
+        at = last + 1
+        members = units[first:at]
+        k = 0
+        for r in [unit(members[0][0])] if len(members) == 1 else decoder.stretch([m[0] for m in members]):
+            own = members[k : k + r.units]
+            k += r.units
+            if not r.changed:
+                continue
+            literal(own[0].start())
+            done = own[-1].end()
+            pending += stream.count("\n", own[0].start(), done)
+            as_read = _characters(" ".join(m[0] for m in own))[1]
+            parts.append(" ".join(_cased(w.word, as_read[w.at :]) for w in r.words))
+            over, at_blank = [], -1  # the blanks that are line ends
+            for a, b in zip(own, own[1:]):
+                at_blank += len(_characters(a[0])[0]) + 1
+                if "\n" in stream[a.end() : b.start()]:
+                    over.append(at_blank)
+            for w, end in zip(r.words, [*(w.at for w in r.words[1:]), len(as_read)]):
+                found += [("hyphen", w.word)] * (w.broken or any(w.at < p < end for p in over)) + [("misread", w.word)] * w.misread
+    literal(len(stream))
+    return "".join(parts) + "\n" * pending
 
 
 def paragraphs(page: Page, lines: list[str]) -> list[str]:

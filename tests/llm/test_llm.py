@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime as dt
 import hashlib
+import math
 import random
 
 import numpy as np
@@ -123,6 +124,84 @@ def test_joint_reading():
     assert read(long)[0] == [] and sum(k == "pageno" for k in scans.structure(long).kind) == 4_000
 
 
+def test_one_lattice_over_the_stream():
+    words = {w: 200 for w in "the soil moisture content has recovered after rain of granite meadow is wet".split()} | {"cont": 30, "con": 20, "ten": 20, "zasamilin": 3, "be": 3, "cause": 3, "because": 30_000, "id": 200, "s5-143": 3, "4": 200}
+    d = scans.Decoder(words, 60_000)
+    read = lambda text: scans.decode(scans.structure(text), d)
+    for seen, meant, found in (
+        ("the soil cont ent has recovered", ["the soil content has recovered"], []),  # the first part is a word
+        ("the soil con tenf has", ["the soil content has"], [("misread", "content")]),
+        ("it is be cause of rain", ["it is because of rain"], []),  # both parts are words, but rare ones
+        ("the soilm ois-\nture content", ["the soil moisture", "content"], [("hyphen", "moisture")]),  # missing, stray and broken at once
+        ("the rnois-\ntvre of soil", ["the rnoistvre", "of soil"], [("hyphen", "rnoistvre")]),
+        ("the rnois-\nture5oil of rain", ["the moisture soil", "of rain"], [("hyphen", "moisture"), ("misread", "moisture"), ("misread", "soil")]),
+        ("the soil mois\n  ture), and rain", ["the soil moisture),", "and rain"], [("hyphen", "moisture")]),  # no hyphen at the line end
+        ("the soil mois\n\nture of rain", ["the soil mois", "", "ture of rain"], []),  # not over a blank line
+        ("the soil re cov\nered, the\nmoi sture.", ["the soil recovered,", "the", "moisture."], [("hyphen", "recovered")]),
+        ("Soilmoisture Of Ra in", ["Soil moisture Of Rain"], []),
+        ("moi-\nst-\nure of rain", ["moisture", "", "of rain"], [("hyphen", "moisture")]),
+        ("the ﬁr granitemeadoﬀ", ["the fir granitemeadoff"], [("misread", "fir"), ("misread", "granitemeadoff")]),
+        ("Protocol (ID S5-1434) of rain", ["Protocol (ID S5-1434) of rain"], []),
+    ):
+        assert read(seen) == (found, meant), seen
+
+
+def test_cheapest_way_by_hand():
+    """The way found, and the parts a stream falls into, against every way there is."""
+    counts = {"soil": 900, "so": 40, "il": 3, "moisture": 700, "moist": 60, "rnoist": 3, "ure": 4, "the": 9_000, "in": 8_000, "so-il": 3, "bean": 30, "be": 90, "an": 5_000, "can": 3_000, "a": 9_000}
+    rng, seen = random.Random(11), 0
+
+    def by_hand(d, units):
+        s = " ".join(u.replace("-\n", "\n") for u in units)
+        ends = [i for i, c in enumerate(s) if c == " "] + [len(s)]
+
+        def words_from(i):
+            todo, out = [(i, "", "", 0, 0)], {}
+            while todo:
+                pos, word, raw, k, dropped = todo.pop()
+                if word in counts and s[pos - 1] not in " \n" and s[pos : pos + 1] != "\n" and (c := d._arc(word, raw, k)) is not None:
+                    split = pos not in ends and scans.SPLIT + scans.SHORT_PART * (len(word) < 3) + scans.SHORT_PART * (next(e for e in ends if e >= pos) - pos < 3)
+                    out[pos] = min(out.get(pos, math.inf), c + scans.MERGED * dropped + split)
+                if pos == len(s):
+                    continue
+                if s[pos] in " \n":
+                    if word:
+                        todo.append((pos + 1, word, raw, k, dropped + (s[pos] == " ")))
+                        todo += [(pos + 1, word + "-", raw + "-", k, dropped)] * (s[pos] == "\n")
+                    continue
+                todo.append((pos + 1, word + s[pos], raw + s[pos], k, dropped))
+                todo += [(pos + len(a), word + b, raw + a, k + 1, dropped) for a, b in scans.CONFUSIONS if s.startswith(a, pos)]
+                todo = [t for t in todo if any(w.startswith(t[1]) for w in counts)]
+            return out
+
+        best = {0: 0.0}
+        for i in range(len(s) + 1):
+            if i not in best:
+                continue
+            if i == 0 or s[i - 1] == " ":
+                e = next(e for e in ends if e >= i)
+                best[e + 1] = min(best.get(e + 1, math.inf), best[i] + d.unknown(s[i:e]))
+            for at, c in words_from(i).items() if i < len(s) else ():
+                to = at + (at in ends)
+                best[to] = min(best.get(to, math.inf), best[i] + c)
+        return best[len(s) + 1]
+
+    for texts in (9_000, 400_000):
+        d = scans.Decoder(counts, texts)
+        for _ in range(400):
+            told = "".join(rng.choice([w, w, w + " ", w + " ", w[:2] + " " + w[2:], w[:1] + "-\n" + w[1:], w.replace("m", "rn"), w.replace("l", "1"), "x" + w + " "]) for w in rng.choices(list(counts), k=rng.randrange(1, 6)))
+            stream = " ".join(told.split(" ")).strip()
+            units = [m[0] for m in scans._UNIT.finditer(stream)]
+            if " ".join(units) != stream or any(map(scans._figure, units)):
+                continue
+            seen += 1
+            whole = d.stretch(units)
+            assert sum(r.cost for r in whole) == pytest.approx(by_hand(d, units)), stream
+            parts = scans._decoded(stream, d, [])
+            assert parts.split() == " ".join(w.word for r in whole for w in r.words).split(), stream
+    assert seen > 400
+
+
 def test_rare_words_of_a_large_corpus(spark, monkeypatch):
     monkeypatch.setattr(scans, "LEAST_SHARE", 0.2)  # as if 40 texts were many: a word of four texts is far below
     texts = [f"The elastic meadow recovered after long monitoring of granite number {'abcdefgh'[i % 8]}." for i in range(40)] + ["We thank Zasamilin for the meadow."] * 4 + ["We thank Zasamllin for the rneadow.", "We thank Zasa-\nmilin for the meadow."]
