@@ -38,8 +38,9 @@ LEAST_SHARE = 0.0003  # of all texts a word must stand in for it to be no likely
 CONFUSED, SPLIT, MERGED, UNKNOWN = 2.5, 14.0, 12.0, 25.0  # the k-th confusion of a word costs k times CONFUSED
 PER_LETTER, SHORT_PART = 2.0, 4.0  # of an unknown word each letter over ten; of a space put in beside a part of under three letters
 
-_WORD = re.compile(r"[^\W_](?:[\w@|!$¢€]*[\w@|$])?(?:[-'’][\w@|!$]+)*|[@|!$][\w@|!$]+(?:[-'’][\w@|!$]+)*")
+_WORD = re.compile(r"[^\W_]\w*(?:[!¢€]*[\w@|$]+)*(?:[-'’][\w@|!$]+)*|[@|!$][\w@|!$]+(?:[-'’][\w@|!$]+)*")
 _UNIT = re.compile(rf"(?:{_WORD.pattern})(?:[{BREAKS}][^\S\n]*\n\s*(?=[^\W\d_]|[@0156|9])(?:{_WORD.pattern}))*")
+_UNITS = re.compile(f"({_UNIT.pattern})")
 BROKEN = "\n"  # what stands for a break inside a unit
 _BROKEN = re.compile(rf"[{BREAKS}][^\S\n]*\n\s*")
 _SOFT = re.compile(r" |[^\S\n\f]*\n[^\S\n\f]*")
@@ -50,7 +51,7 @@ _SURE = re.compile(rf"\s*(?:[-–—]\s*({_N}|{_ROMAN})\s*[-–—]|\[\s*({_N})\
 _BARE = re.compile(rf"\s*({_N}|{_ROMAN})\s*")
 _NUMBERED = re.compile(rf"\s*(?:(?P<a>{_N}|{_ROMAN})\s{{2,}}(?P<t>[^\W\d].*?)|(?P<u>[^\W\d].*?)\s{{2,}}(?P<b>{_N}|{_ROMAN}))\s*")
 _MARKS = re.compile("[a-z][0-9@|][a-z]|[" + "".join(LIGATURES) + "]")
-_ODD = re.compile(r"[^\S \n\f]")
+_ODD = [c for c in map(chr, range(0x10000)) if c.isspace() and c not in " \n\f"]
 _TABLE = re.compile(r"\S\s{2,}\S.*\S?\s{2,}\S")
 
 
@@ -87,14 +88,21 @@ def _lines(text: str) -> tuple[list[str], set[int]]:
     return lines, feeds
 
 
-_LIGATURE_TABLE = str.maketrans(LIGATURES)
-_NO_WORD = re.compile(r"[^\w\n]+")
+class _PlainTable(dict):
+    """By code point: ligatures taken apart, what is no part of a word a blank; line feeds stay."""
 
+    def __missing__(self, point: int) -> str:
+        c = chr(point)
+        self[point] = told = LIGATURES.get(c) or (c if c == "_" or c == "\n" or c.isalnum() else " ")
+        return told
 
-def _plain(text: str) -> str:
-    """In small letters, each run of what is no word one blank; line feeds stay."""
-    low = text.lower()
-    return _NO_WORD.sub(" ", low.translate(_LIGATURE_TABLE) if _LIGATURE.search(low) else low)
+
+_PLAIN = _PlainTable()
+
+
+def _plain(text: str) -> list[str]:
+    """Each line in small letters, its words with one blank between."""
+    return [" ".join(line.split()) for line in text.lower().translate(_PLAIN).split("\n")]
 
 
 def _near(a: str, b: str) -> bool:
@@ -110,11 +118,11 @@ def structure(text: str) -> Page:
     """Page numbers and running headers among the lines of `text`; lines end at line feeds and form feeds."""
     lines, feeds = _lines(text)
     kind = ["text" if l.strip() else "blank" for l in lines]
-    page = Page(lines, kind, feeds, _ODD.search(text) is not None)
+    page = Page(lines, kind, feeds, any(c in text for c in _ODD))
     full = [i for i, k in enumerate(kind) if k == "text"]
     if not full:
         return page
-    plain = [x.strip() for x in _plain("\n".join(lines)).split("\n")]
+    plain = _plain("\n".join(lines))
     width = sorted(len(lines[i].rstrip()) for i in full)[int(0.9 * (len(full) - 1))]
     before = {b: a for a, b in zip(full, full[1:])}
 
@@ -156,7 +164,7 @@ def structure(text: str) -> Page:
         if kind[i] == "text" and page.gapped(lines[i].strip()) and not _TABLE.search(lines[i].strip()) and (m := _NUMBERED.fullmatch(lines[i])):
             words = m["t"] or m["u"]
             n = _number(m["a"] or m["b"])
-            if n is not None and len(told := _plain(words).strip()) >= 5 and len(re.findall(r"\d", words)) <= 2 and len(words.split()[0]) > 1 and not re.match(r"(?:Plot|Site|Table|Fig)", words):
+            if n is not None and len(told := _plain(words)[0]) >= 5 and len(re.findall(r"\d", words)) <= 2 and len(words.split()[0]) > 1 and not re.match(r"(?:Plot|Site|Table|Fig)", words):
                 numbered.append((i, n, told))
     counts = Counter(w for _, _, w in numbered)
     known: set[str] = set()
@@ -282,6 +290,7 @@ class Decoder:
         self.texts = max(1, texts)
         self.common = LEAST_SHARE * texts
         self.sorted = sorted(counts)
+        self.hyphened = min((self.cost(w) for w in counts if "-" in w), default=math.inf)  # the least a word with a hyphen costs
         self.memo: dict[str, tuple[str, int] | None] = {}
         self.settled: set[str] = set()  # words as read that stand and cost no more than half a dropped blank: two of them are never one word
         self.begun: dict[str, bool] = {}
@@ -376,8 +385,10 @@ class Decoder:
         s, _, odd = _characters(read)
         if _figure(s):
             return Reading(0.0, [Word(s, 0, False, False)], False)
-        if BROKEN in s:
-            known = [self.cost(w) for w in (s.replace(BROKEN, ""), s.replace(BROKEN, "-")) if w in self.counts and self._arc(w, w, 0) is not None]
+        if BROKEN in s and (plain := s.replace(BROKEN, "")) in self.counts and self.stands(plain) <= CONFUSED + self.hyphened and s.replace(BROKEN, "-") not in self.counts and self.correction(plain) is None:
+            cost, word, misread = self.cost(plain), plain, bool(odd)  # a word with a hyphen, being a confusion, can't be cheaper
+        elif BROKEN in s:
+            known = [self.cost(w) for w in (plain, s.replace(BROKEN, "-")) if w in self.counts and self._arc(w, w, 0) is not None]
             whole = [w for w in self._words(s, 0, [min(known, default=UNKNOWN)], 0.0, [0] * (len(s) + 1)) if w[0] == len(s)]
             cost, word, misread = whole[0][1:] if whole else (self.unknown(s), self._unheard(read), False)
             misread = misread or bool(odd)
@@ -585,27 +596,27 @@ def _decoded(stream: str, decoder: Decoder, found: list[tuple[str, str]]) -> str
     No way that drops a blank between two units is cheaper where what they and their neighbours cost alone is less than that: there
     the lattice falls into parts, each decoded for itself.
     """
-    units = list(_UNIT.finditer(stream))
+    pieces = _UNITS.split(stream)  # units at the odd places, what stands between them at the even ones
+    words = pieces[1::2]
     settled, unit = decoder.settled, decoder.unit
-    hot = [k for k, m in enumerate(units) if m[0] not in settled]
+    hot = [k for k, w in enumerate(words) if w not in settled]
     if not hot:
         return stream
-    costs = [MERGED / 2] * len(units)  # of a settled one the most it may cost
+    costs = [MERGED / 2] * len(words)  # of a settled one the most it may cost
     for k in hot:
-        costs[k] = unit(units[k][0]).cost
-    soft = lambda k: 0 < k < len(units) and _SOFT.fullmatch(stream, units[k - 1].end(), units[k].start()) is not None  # noqa: E731  whether unit k follows the one before at a blank
+        costs[k] = unit(words[k]).cost
+    soft = lambda k: _SOFT.fullmatch(pieces[2 * k]) is not None  # noqa: E731  whether unit k follows the one before at a blank
     parts: list[str] = []
-    done = pending = 0
+    done = pending = at = 0
 
     def literal(till: int) -> None:
-        nonlocal done, pending
-        chunk, done = stream[done:till], till
+        nonlocal pending
+        chunk = "".join(pieces[done:till])
         if pending and (m := re.search(r"\s", chunk)):
             chunk = chunk[: m.start()] + "\n" * pending + chunk[m.start() :].lstrip(" \t")
             pending = 0
         parts.append(chunk)
 
-    at = 0
     for h in hot:
         if h < at:
             continue
@@ -615,30 +626,29 @@ def _decoded(stream: str, decoder: Decoder, found: list[tuple[str, str]]) -> str
             first -= 1
             gain = max(gain, 0.0) + costs[first] - MERGED
         last, gain = first, costs[first] - MERGED
-        while last + 1 < len(units) and (last < h or gain + costs[last + 1] > 0 and soft(last + 1)):
+        while last + 1 < len(words) and (last < h or gain + costs[last + 1] > 0 and soft(last + 1)):
             last += 1
             gain = max(gain, 0.0) + costs[last] - MERGED
         at = last + 1
-        members = units[first:at]
-        k = 0
-        for r in [unit(members[0][0])] if len(members) == 1 else decoder.stretch([m[0] for m in members]):
-            own = members[k : k + r.units]
-            k += r.units
+        k = first
+        for r in [unit(words[h])] if first == last else decoder.stretch(words[first:at]):
+            own = words[k : k + r.units]
+            begin, k = k, k + r.units
             if not r.changed:
                 continue
-            literal(own[0].start())
-            done = own[-1].end()
-            pending += stream.count("\n", own[0].start(), done)
-            as_read = _characters(" ".join(m[0] for m in own))[1]
+            literal(2 * begin + 1)
+            done = 2 * k
+            pending += sum(p.count("\n") for p in pieces[2 * begin + 1 : done])
+            as_read = _characters(" ".join(own))[1]
             parts.append(" ".join(_cased(w.word, as_read[w.at :]) for w in r.words))
-            over, at_blank = [], -1  # the blanks that are line ends
-            for a, b in zip(own, own[1:]):
-                at_blank += len(_characters(a[0])[0]) + 1
-                if "\n" in stream[a.end() : b.start()]:
-                    over.append(at_blank)
+            over, blank = [], -1  # the blanks that are line ends
+            for n, w in enumerate(own[:-1], begin + 1):
+                blank += len(_characters(w)[0]) + 1
+                if "\n" in pieces[2 * n]:
+                    over.append(blank)
             for w, end in zip(r.words, [*(w.at for w in r.words[1:]), len(as_read)]):
                 found += [("hyphen", w.word)] * (w.broken or any(w.at < p < end for p in over)) + [("misread", w.word)] * w.misread
-    literal(len(stream))
+    literal(len(pieces))
     return "".join(parts) + "\n" * pending
 
 
@@ -694,10 +704,10 @@ def repaired(works: DataFrame, key: str, text: str) -> DataFrame:
     """
     todo = works.select(F.col(key).alias("key"), F.col(text).alias("text")).where("trim(text) <> ''")
     words, total = vocabulary(todo.select("text"))
-    shared = works.sparkSession.sparkContext.broadcast((words, total))
+    shared = works.sparkSession.sparkContext.broadcast(Decoder(words, total))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        decoder = Decoder(*shared.value)
+        decoder = shared.value  # what it remembers serves the next tasks of the worker
         for pdf in batches:
             out = []
             for k, t in zip(pdf["key"], pdf["text"]):
