@@ -138,7 +138,7 @@ _INIT = f"(?:\\b' || f[1:1] || '[.]?{_GAP}' || l || '\\b|\\b' || l || '{_GAP}' |
 _STRENGTH = lambda h: f"case when regexp_matches({h}, '{_FULL}') or contains({h}, v1) or contains({h}, v2) then 3 when regexp_matches({h}, '{_INIT}') or contains({h}, v3) then 2 when regexp_matches({h}, '\\b' || l || '\\b') then 1 else 0 end"
 _ASKED = """asked as (select distinct name, lower(k[1]) f, lower(k[-1]) l, lower(array_to_string(k, ' ')) v1, lower(k[1] || ' ' || array_to_string(list_transform(k[2:-2], lambda x: x[1:1] || '.'), ' ') || ' ' || k[-1]) v2, lower(k[1][1:1] || '. ' || array_to_string(list_transform(k[2:-2], lambda x: x[1:1] || '.'), ' ') || ' ' || k[-1]) v3 from (select name, regexp_extract_all(name, '([A-Za-z]+)', 1) k from (select distinct regexp_extract(text, '^Q: What does (.*) study in', 1) name from documents where doc_kind = 'qa_pair' and text is not null)) where len(k) >= 2 and len(regexp_extract_all(name, '[^\\x00-\\x7F]')) = 0)"""
 _SCORED = f"""{_ASKED}, d as (select chunk_id, any_value(researcher) researcher, any_value(su_researchers) authors, any_value("text") "text", any_value(work_id) work_id from chunks group by chunk_id),
- h as (select chunk_id, work_id, {_HAY('researcher')} hr, {_HAY('authors')} ha, {_HAY('"text"[:2000]')} ht from d), x as (select *, list_distinct(regexp_extract_all(hr || ' ' || ha || ' ' || ht, '([a-z]+)', 1)) ws from h), e as (select chunk_id, work_id, hr, ha, ht, unnest(ws) l from x),
+ h as (select chunk_id, work_id, {_HAY('researcher')} hr, {_HAY('authors')} ha, {_HAY('"text"')} ht from d), x as (select *, list_distinct(regexp_extract_all(hr || ' ' || ha || ' ' || ht, '([a-z]+)', 1)) ws from h), e as (select chunk_id, work_id, hr, ha, ht, unnest(ws) l from x),
  m as (select name, chunk_id, work_id, {_STRENGTH('hr')} r, {_STRENGTH('ha')} a, {_STRENGTH('ht')} c from e join asked using (l)),
  sc as (select name, chunk_id, work_id, cast(case when r = 3 then 4.0 when a = 3 then 3.0 when r = 2 then 2.0 when a = 2 then 1.5 when c = 3 then 1.2 when c = 2 then 1.0 when r = 1 then 0.3 when a = 1 then 0.2 when c = 1 then 0.15 else 0 end as double) score from m)"""
 
@@ -175,7 +175,7 @@ def person_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = cut(asked)
     few = asked.limit(MOST_ASKED + 1).count() <= MOST_ASKED
     known = F.coalesce(F.concat(F.lit("="), "chunk_id"), F.lit("")).alias("key")  # chunks without an id are one
-    one = table(spark, sf_dir, "chunks").groupBy(known).agg(*(F.max(c).alias(c) for c in ("chunk_id", "work_id", "researcher", "su_researchers")), F.max(F.substring("text", 1, 2000)).alias("text"))
+    one = table(spark, sf_dir, "chunks").groupBy(known).agg(*(F.max(c).alias(c) for c in ("chunk_id", "work_id", "researcher", "su_researchers", "text")))
     d = one.select("key", "chunk_id", "work_id", hay(F.col("researcher")).alias("hr"), hay(F.col("su_researchers")).alias("ha"), hay(F.col("text")).alias("ht"))
     words = d.select("key", F.explode(F.array_distinct(F.regexp_extract_all(F.concat_ws(" ", "hr", "ha", "ht"), F.lit("([a-z]+)"), F.lit(1)))).alias("l"))
     met = words.join(F.broadcast(asked) if few else asked, "l")

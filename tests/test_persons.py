@@ -53,3 +53,27 @@ def test_no_text_goes_with_each_of_its_words(spark, people):
     plan = persons.person_scores(spark, people)._jdf.queryExecution().executedPlan().toString()
     taken = re.findall(r"Generate explode\(array_distinct.*\), \[(.*?)\], (?:true|false)", plan)
     assert taken and not any(re.search(r"\bh[rat]#", x) for x in taken), taken
+
+
+FAR = "on meadows and stones " * 500  # 11,000 characters before the name
+LONG = [("f1", "w1", None, None, f"{FAR}said Ann Boler"), ("f2", "w1", None, None, f"{FAR}said A. Boler"), ("f3", "w1", None, None, f"{FAR}said boler"), ("f4", "w1", None, None, FAR)]
+
+
+def _far(spark, tmp_path, name):
+    import duckdb
+
+    spark.createDataFrame([(1, "qa_pair", "Q: What does Ann Boler study in fields?\nA: x")], "doc_id long, doc_kind string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(LONG, "chunk_id string, work_id string, researcher string, su_researchers string, text string").write.parquet(f"{tmp_path}/chunks.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "chunks"):
+        con.execute(f"create view {t} as select * from read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    got = con.execute(entry.oracle_sql()[name])
+    theirs = rows_of([d[0] for d in got.description], got.fetchall())
+    df = entry.queries()[name](spark, str(tmp_path))
+    assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == theirs
+    return df
+
+
+def test_support_counts_people_named_anywhere_in_a_text(spark, tmp_path):
+    df = _far(spark, tmp_path, "ag_person_support")
+    assert [tuple(r) for r in df.select("name", "total", "strong", "matched").collect()] == [("Ann Boler", 3, 0, 2)]
