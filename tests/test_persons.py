@@ -77,3 +77,8 @@ def _far(spark, tmp_path, name):
 def test_support_counts_people_named_anywhere_in_a_text(spark, tmp_path):
     df = _far(spark, tmp_path, "ag_person_support")
     assert [tuple(r) for r in df.select("name", "total", "strong", "matched").collect()] == [("Ann Boler", 3, 0, 2)]
+
+
+def test_evidence_is_found_anywhere_in_a_text(spark, tmp_path):
+    df = _far(spark, tmp_path, "tk_person_evidence")
+    assert sorted(tuple(r) for r in df.select("chunk_id", "score", "k").collect()) == [("f1", 1.2, 1), ("f2", 1.0, 2), ("f3", 0.15, 3)]
